@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitloom.llm import queries_encoding, queries_language, queries_names, queries_truncation
+from bitloom.llm import queries_encoding, queries_language, queries_names, queries_packing, queries_truncation
 
-MODULES = (queries_names, queries_encoding, queries_truncation, queries_language)
+MODULES = (queries_names, queries_encoding, queries_truncation, queries_packing, queries_language)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
