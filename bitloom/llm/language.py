@@ -118,7 +118,7 @@ def identify(documents: DataFrame, languages: DataFrame, per_language: int = SAM
     code = canonical_language(F.col("lang"), languages)
     model = fit(documents, code, per_language)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    df = documents.withColumn("code", code).withColumn("segments", F.pandas_udf(segmenter(shared), SEGMENTS)(F.col("text")))
+    df = documents.withColumn("code", code).withColumn("segments", F.pandas_udf(segmenter(shared), SEGMENTS).asNondeterministic()(F.col("text")))
     running = F.filter("segments", lambda s: s["running"])
     df = df.withColumn("text_langs", F.array_sort(F.array_distinct(F.transform(running, lambda s: s["lang"]))))
     weight = lambda lang: F.aggregate(F.filter(running, lambda s: s["lang"] == lang), F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
