@@ -19,6 +19,8 @@ from bitloom.llm.ppm import Ppm
 #: Most training documents per language, and their choice by hash: the bounds of the labelled sample.
 SAMPLE_PER_LANGUAGE = 200
 ORDER = 4
+#: Characters of documents that are scored together.
+SCORED_AT_ONCE = 100_000
 
 SEGMENTS = "array<struct<start:int,stop:int,lang:string,confidence:double,running:boolean>>"
 
@@ -94,16 +96,27 @@ def fit(documents: DataFrame, code: Column, per_language: int = SAMPLE_PER_LANGU
 def segmenter(model) -> Callable[[pd.Series], pd.Series]:
     """A function from texts to their passages; ``model`` is a broadcast of :class:`Ppm`."""
 
+    def flush(ppm: Ppm, waiting: list, out: list) -> None:
+        lines = [text[a:b] for text, spans in waiting for a, b in spans]
+        bits = ppm.bits([x.encode("utf-8", "replace") for x in lines])
+        best = bits.argmin(axis=1).tolist() if lines else []
+        sure = (1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1)).tolist() if lines else []
+        i = 0
+        for _, spans in waiting:
+            out.append([{"start": a, "stop": b, "lang": ppm.labels[best[k]], "confidence": sure[k], "running": is_running(lines[k])} for k, (a, b) in enumerate(spans, i)])
+            i += len(spans)
+        waiting.clear()
+
     def run(texts: pd.Series) -> pd.Series:
         ppm: Ppm = model.value
-        out = []
+        out, waiting, size = [], [], 0
         for text in texts:
-            spans = split_lines(text) if isinstance(text, str) and ppm.labels else []
-            lines = [text[a:b] for a, b in spans]
-            bits = ppm.bits([x.encode("utf-8", "replace") for x in lines])
-            best = bits.argmin(axis=1) if spans else []
-            odds = np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1) if spans else []
-            out.append([{"start": a, "stop": b, "lang": ppm.labels[j], "confidence": float(1 / o), "running": is_running(x)} for (a, b), x, j, o in zip(spans, lines, best, odds)])
+            waiting.append((text, split_lines(text)) if isinstance(text, str) and ppm.labels else ("", []))
+            size += len(waiting[-1][0])
+            if size >= SCORED_AT_ONCE:
+                flush(ppm, waiting, out)
+                size = 0
+        flush(ppm, waiting, out)
         return pd.Series(out, dtype=object)
 
     return run

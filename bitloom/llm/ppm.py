@@ -118,6 +118,15 @@ class Ppm:
             grams.append(_Table(union))
             contexts.append(_Table(context))
         self.grams, self.contexts = grams, contexts
+        # a last row of zeros, for what isn't found
+        self.costs = [np.vstack([t, np.zeros((1, k), np.float32)]) for t in self.costs]
+        self.escapes = [np.vstack([t, np.zeros((1, k), np.float32)]) for t in self.escapes]
+
+    @staticmethod
+    def _add(out: np.ndarray, table: np.ndarray, row: np.ndarray, segment: np.ndarray) -> None:
+        """Adds the table's rows to their segments; segments ascend."""
+        edge = np.flatnonzero(np.diff(segment, prepend=-1))
+        out[segment[edge]] += np.add.reduceat(table[row], edge, axis=0)
 
     def bits(self, segments: list[bytes], block: int = 1 << 17) -> np.ndarray:
         """Code length in bits of each segment under each class (rows: segments, columns: labels); empty ones take 0."""
@@ -135,19 +144,15 @@ class Ppm:
             value, segment = value[keep], number[lo : lo + block][keep]
             if not len(value):
                 continue
-            cost, left = np.zeros((len(value), len(self.labels)), np.float32), np.arange(len(value))
             for n in range(self.order + 1, 0, -1):
-                key = value[left] & np.uint64((1 << 8 * n) - 1)
-                row = self.grams[n - 1].find(key)
-                found = row >= 0
-                cost[left[found]] += self.costs[n - 1][row[found]]
-                left, key = left[~found], key[~found]
+                row = self.grams[n - 1].find(value & np.uint64((1 << 8 * n) - 1))
+                self._add(out, self.costs[n - 1], row, segment)  # row -1 is the last one: nothing
+                left = np.flatnonzero(row < 0)
+                value, segment = value[left], segment[left]
                 if not len(left):
                     break
-                context = self.contexts[n - 1].find(key >> np.uint64(8))
-                known = context >= 0
-                cost[left[known]] += self.escapes[n - 1][context[known]]
-            cost[left] += 8
-            edge = np.flatnonzero(np.diff(segment, prepend=-1))
-            out[segment[edge]] += np.add.reduceat(cost, edge, axis=0)
+                context = self.contexts[n - 1].find((value & np.uint64((1 << 8 * n) - 1)) >> np.uint64(8))
+                self._add(out, self.escapes[n - 1], context, segment)
+            if len(value):
+                np.add.at(out, segment, 8.0)
         return out
