@@ -140,7 +140,7 @@ def normalise_timestamps(df: DataFrame, value: str = "value", zone: str = "tz_na
     Nulls, empty and very long texts give null; rows are kept as they are, repeated ones too. The zone column applies
     only to values that name none; a null or unknown zone leaves such a value undetermined.
     """
-    df = df.withColumn("_at", F.pandas_udf(_parsed, "_local long, _offset long, _named string, _utc long")(F.col(value), F.col(date_order)))
+    df = df.withColumn("_at", F.pandas_udf(_parsed, "_local long, _offset long, _named string, _utc long").asNondeterministic()(F.col(value), F.col(date_order)))
     df = df.withColumns({x: F.col(f"_at.{x}") for x in ("_local", "_offset", "_named", "_utc")}).drop("_at")
     df = with_utc(df.withColumn("_zone", F.coalesce(F.col("_named"), known_zone(F.col(zone)))), "_local", "_zone", "_by_zone")
     has_zone = F.col("_utc").isNotNull() | F.col("_offset").isNotNull() | F.col("_named").isNotNull()
