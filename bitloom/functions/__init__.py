@@ -1,0 +1 @@
+"""Column functions: bits, bytes, epochs, text and human-readable forms."""
