@@ -34,7 +34,7 @@ def _decoded(value):
 
 
 def walk(body: str | None, repeating: frozenset[str]) -> Iterator[tuple[str, list[str], dict]]:
-    """(label, steps, object) for each object under a repeating name, in document order; nothing for unreadable text.
+    """(label, steps, object) for each object under a repeating name, parents before their children; nothing for unreadable text.
 
     ``steps`` has one entry per part of the label: the path from the labelled parent. Without recursion, so that depth
     is bounded only by what the JSON reader accepts.
