@@ -77,6 +77,8 @@ def canonical_language(label: Column, languages: DataFrame) -> Column:
     known = {}
     for r in languages.select("lang", "iso639_2", "english_name").collect():
         known |= {str(x).strip().lower(): r["lang"] for x in r if x}
+    if not known:
+        return F.lit(None).cast("string")
     text = F.lower(F.trim(label))
     at = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     return F.coalesce(F.element_at(at, text), F.element_at(at, F.regexp_replace(text, r"[-_].*$", "")))

@@ -97,6 +97,8 @@ def pack(items: DataFrame, capacities: dict[int, int], n_items: int) -> DataFram
 
     No container holds two items of one ``cluster`` (null: no cluster). ``capacities`` is a fixed small table.
     """
+    if not capacities:
+        return items.sparkSession.createDataFrame([], "pack_id int, container_id string, doc_id long, piece int, tokens long")
     shards = max(1, -(-n_items // SHARD_ITEMS))
     packs = F.array(*[F.struct(F.lit(k).alias("pack_id"), F.lit(c).alias("capacity")) for k, c in sorted(capacities.items())])
     dealt = items.select("doc_id", "tokens", "cluster", "source", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(packs).alias("p"))
@@ -108,6 +110,8 @@ def pack(items: DataFrame, capacities: dict[int, int], n_items: int) -> DataFram
             return pd.DataFrame(columns=["pack_id", "container_id", "doc_id", "piece", "tokens"])
         clusters = [None if pd.isna(c) else int(c) for c in rows["cluster"]]
         packed = pack_shard(list(zip(rows["doc_id"].tolist(), rows["tokens"].tolist(), clusters, rows["source"].tolist())), int(rows["capacity"].iloc[0]))
+        if not packed:
+            return pd.DataFrame(columns=["pack_id", "container_id", "doc_id", "piece", "tokens"])
         out = pd.DataFrame(packed, columns=["container", "doc_id", "piece", "tokens"])
         return pd.DataFrame({"pack_id": pack_id, "container_id": out["container"].map(lambda i: f"{shard}-{i}"), "doc_id": out["doc_id"], "piece": out["piece"], "tokens": out["tokens"]})
 

@@ -86,6 +86,9 @@ class Ppm:
 
     def __init__(self, training: dict[str, list[bytes]], order: int = 4):
         self.labels, self.order = sorted(training), order
+        if not training:
+            self.grams, self.contexts, self.costs, self.escapes = [], [], [], []
+            return
         counts = []  # per class, per length: sorted strings and their counts
         for label in self.labels:
             data, start, length = _joined(training[label], order)
@@ -132,7 +135,7 @@ class Ppm:
         """Code length in bits of each segment under each class (rows: segments, columns: labels); empty ones take 0."""
         out = np.zeros((len(segments), len(self.labels)))
         data, start, length = _joined(segments, self.order)
-        if not len(data):
+        if not length.sum() or not self.labels:
             return out
         own, number = _own(len(data), start, length), np.zeros(len(data), np.int64)
         number[start[length > 0]] = np.flatnonzero(length > 0)
