@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gzip
 import io
+import struct
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -506,3 +508,43 @@ def archive_members(s, d):
     value = lambda *names: F.max(F.when(F.regexp_extract("path", r"^/file\[0\]/(\w+)$", 1).isin(*names), F.col("value")))
     members = rows.groupBy("id", "format").agg(value("name", "filename").alias("name"), value("size", "uncompressed_size").cast("bigint").alias("size"))
     return members.select(F.floor(F.col("id") / 2).cast("bigint").alias("doc_id"), "format", "name", "size")
+
+
+def _png(width: int, title: str) -> bytes:
+    chunk = lambda tag, body: struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, 7, 8, 2, 0, 0, 0)) + chunk(b"tEXt", b"Title\0" + title.encode("latin-1")) + chunk(b"IEND", b"")
+
+
+def _pictures(s, d):
+    """A picture per source, with its name as a text."""
+
+    def draw(keys: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([_png(k % 1000 + 1, n) for k, n in zip(keys, names)], dtype=object)
+
+    rows = read_table(s, d, "sources").groupBy("source_id").agg(F.min("filename").alias("filename"))
+    return rows.select(F.col("source_id").alias("id"), "filename", F.pandas_udf(draw, "binary")("source_id", "filename").alias("content"))
+
+
+@query("select distinct source_id as id, (source_id % 1000 + 1)::varchar as width, filename as comment from sources")
+def png_metadata(s, d):
+    from bitloom.operators.extract import metadata_rows
+    from bitloom.sources.formats import parse
+
+    rows = metadata_rows(parse(_pictures(s, d).select("id", "content")))
+    value = lambda k: F.max(F.when(F.col("meta_key") == k, F.col("value"))).alias(k)
+    return rows.groupBy("id").agg(value("width"), value("comment"))
+
+
+@query("select distinct source_id as id, (12 + 6 + length(filename)) * 8 as removed_bits from sources")
+def strip_png(s, d):
+    from bitloom.operators.editing import stripped
+
+    return _pictures(s, d).select("id", stripped(F.col("content"), F.lit("png")).alias("s")).select("id", "s.removed_bits")
+
+
+@query("select distinct source_id as id, source_id % 97 as \"offset\", 8 + 25 + 12 + 6 + length(filename) + 12 as size, 'file-0001.png' as name from sources")
+def carve_embedded(s, d):
+    from bitloom.operators.carving import carve_files
+
+    filler = F.encode(F.repeat(F.lit("."), (F.col("id") % 97).cast("int")), "UTF-8")
+    return carve_files(_pictures(s, d).select("id", F.concat(filler, "content", filler).alias("content")), ("png",)).select("id", "offset", "size", "name")

@@ -250,8 +250,10 @@ def parse_one(data: bytes, name: str) -> list[Field]:
     r, out = _Reader(data), []
     try:
         for field in READERS[name](r):
+            if field[2] < 0:
+                break
             out.append(field)
-    except (EOFError, struct.error, ValueError):
+    except (EOFError, struct.error, ValueError, IndexError):
         pass
     if r.at < len(data):
         out.append(("/raw[0]", r.at * 8, (len(data) - r.at) * 8, None))
@@ -290,3 +292,6 @@ def inflated(column, method: str):
 def files(spark, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """Files as (path, modificationTime, length, content), by Spark's binary source; content is read only where it is used."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
+
+
+from bitloom.sources import more_formats  # noqa: E402, F401  (adds its readers)
