@@ -359,6 +359,16 @@ def enum_decode(s, d):
     return read_table(s, d, "orders").select("o_orderkey", F.coalesce(F.element_at(labels, F.col("o_orderstatus")), "o_orderstatus").alias("status"))
 
 
+@query(f"""with {ITEMS_SQL}, r(k, least, most, whole) as (values ('track_number', 1, 999, true), ('width', 1, 20000, true), ('height', 1, 20000, true), ('nb_channel', 1, 8, true), ('sample_rate', 1000, 192000, false), ('bits_per_pixel', 1, 256, true), ('bit_rate', 1, 524288000, false), ('file_size', null, null, true)),
+j as (select *, try_cast(value as double) as x from items left join r on r.k = meta_key)
+select meta_key, count(*) as n, count(*) filter (value is not null and (k is null or (x is not null and (not whole or x = floor(x)) and (least is null or x between least and most)))) as valid from j group by 1""")
+def metadata_validated(s, d):
+    from bitloom.operators.registry import accepted
+
+    rows = read_table(s, d, "metadata_items").select("item_id", "meta_key", "value").dropDuplicates(["item_id"])
+    return rows.groupBy("meta_key").agg(F.count("*").alias("n"), F.count_if(accepted(F.col("meta_key"), F.col("value"))).alias("valid"))
+
+
 # -- functions
 
 
