@@ -63,6 +63,15 @@ def duration_ms(value: Column) -> Column:
     return F.when(value == 0, "0 ms").otherwise(text)
 
 
+def duration_ns(value: Column) -> Column:
+    """Nanoseconds: as such below 1000, then usec and ms with two decimals, from a second on as :func:`duration_ms`."""
+    v = value.cast("bigint")
+    return (
+        F.when(v < 1000, F.concat(v.cast("string"), F.lit(" nsec"))).when(v < 1_000_000, F.concat(_fixed(v, 1000, 2), F.lit(" usec")))
+        .when(v < 1_000_000_000, F.concat(_fixed(v, 1_000_000, 2), F.lit(" ms"))).otherwise(duration_ms((v - F.pmod(v, F.lit(1_000_000))) / 1_000_000))
+    )
+
+
 def unix_attributes(mode: Column) -> Column:
     """Permission bits as rwx text with set-id and sticky marks, then the octal digits in brackets."""
     bit = lambda k: F.shiftright(mode, k).bitwiseAND(1) == 1

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,13 +15,28 @@ from pyspark.sql import functions as F
 def lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line: key, ordinal, path, address (bytes), size (bytes, with the line end but for the last), value.
 
-    Null texts give no row, an empty text one empty line.
+    Null texts give no row, an empty text one empty line. A running sum within a text would need a shuffle of all texts as
+    a window; here each Arrow batch is split and summed in place, column by column, and nothing moves.
     """
-    rows = documents.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("ordinal", "value"))
-    last = F.max("ordinal").over(W.partitionBy(key))
-    sized = rows.withColumn("size", F.octet_length("value") + F.when(F.col("ordinal") < last, 1).otherwise(0))
-    before = W.partitionBy(key).orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
-    return sized.select(key, "ordinal", F.concat(F.lit("/line["), "ordinal", F.lit("]")).alias("path"), F.coalesce(F.sum("size").over(before), F.lit(0)).cast("bigint").alias("address"), F.col("size").cast("bigint").alias("size"), "value")
+    rows = documents.where(F.col(text).isNotNull()).select(key, F.col(text).alias("value"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = pc.split_pattern(batch.column(1), "\n")
+            count = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+            value = parts.flatten()
+            size = pc.binary_length(value).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            stop = np.cumsum(count)
+            size[stop - 1] -= 1
+            total, first = np.cumsum(size), np.repeat(stop - count, count)
+            address = total - size - (total - size)[first] if len(size) else size
+            ordinal = np.arange(len(size), dtype=np.int64) - first if len(size) else size
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ordinal.astype(np.int32)), pa.array(address), pa.array(size), value], names=[key, "ordinal", "address", "size", "value"])
+
+    out = rows.mapInArrow(split, f"`{key}` {kind}, ordinal int, address long, size long, value string")
+    return out.select(key, "ordinal", F.concat(F.lit("/line["), "ordinal", F.lit("]")).alias("path"), "address", "size", "value")
 
 
 def grep(fields: DataFrame, pattern: str | None, case: bool = False, value: str = "value") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bitloom.functions import bits, epochs, human, text
+from bitloom.functions import bits, epochs, human, strings, text
 from bitloom.operators import bytestats, detect, fields, metadata
 from bitloom.sources import read_table
 
@@ -558,3 +558,64 @@ def carve_embedded(s, d):
 
     filler = F.encode(F.repeat(F.lit("."), (F.col("id") % 97).cast("int")), "UTF-8")
     return carve_files(_pictures(s, d).select("id", F.concat(filler, "content", filler).alias("content")), ("png",)).select("id", "offset", "size", "name")
+
+
+# -- strings, exports, sessions
+
+
+@query("select doc_id, coalesce(lang, '') as lang, strlen(coalesce(lang, '')) + 1 as size, coalesce(pub_number, '') as pub_number, strlen(coalesce(pub_number, '')) + 2 as pascal_size from documents")
+def string_fields(s, d):
+    lang, number = F.encode(F.coalesce("lang", F.lit("")), "UTF-8"), F.encode(F.coalesce("pub_number", F.lit("")), "UTF-8")
+    data = F.concat(lang, F.lit(b"\0"), F.unhex(bits.int_to_hex(F.octet_length(number), 2)), number)
+    rows = read_table(s, d, "documents").select("doc_id", data.alias("b")).withColumn("c", strings.terminated(F.col("b"), F.lit(0), charset="UTF-8"))
+    rows = rows.withColumn("p", strings.pascal(F.col("b"), F.col("c.size"), 2, charset="UTF-8"))
+    return rows.select("doc_id", F.col("c.value").alias("lang"), F.col("c.size").cast("bigint").alias("size"), F.col("p.value").alias("pub_number"), F.col("p.size").cast("bigint").alias("pascal_size"))
+
+
+@query("select p_partkey, p_size % 2 = 0 as padding from part")
+def padding_check(s, d):
+    data = F.concat(F.unhex(F.lit("00" * 64)), F.when(F.col("p_size") % 2 == 0, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("01"))))
+    return read_table(s, d, "part").select("p_partkey", strings.all_pattern(data).alias("padding"))
+
+
+@query(f"with {ITEMS_SQL} select source_id, string_agg(meta_key || '=' || coalesce(value, ''), '; ' order by priority, item_id) as line, count(*) as n_total, count(*) filter (value is not null and value <> '') as n_valid from items group by 1")
+def csv_export(s, d):
+    once = read_table(s, d, "metadata_items").dropDuplicates(["item_id"])
+    cell = F.concat("meta_key", F.lit("="), F.coalesce("value", F.lit("")))
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("priority", "item_id", cell.alias("c")))), lambda x: x["c"])
+    return once.groupBy("source_id").agg(F.array_join(cells, "; ").alias("line"), F.count("*").alias("n_total"), F.count_if(F.col("value").isNotNull() & (F.col("value") != "")).alias("n_valid"))
+
+
+@query("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '30 minutes' then 0 else 1 end as new from events),
+n as (select user_id, ts, sum(new) over (partition by user_id order by ts rows between unbounded preceding and current row) as s from g)
+select user_id, min(ts) as session_start, max(ts) + interval '30 minutes' as session_end, count(*) as n from n group by user_id, s""")
+def event_sessions(s, d):
+    from bitloom.streaming.events import sessions
+
+    rows = sessions(read_table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "30 minutes")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("select event_id, case when v < 1000 then v || ' nsec' when v < 1000000 then printf('%.2f usec', v / 1000.0::double) else printf('%.2f ms', v / 1000000.0::double) end as duration from (select event_id, (event_id * 7919 * 1024) % 1000000000 as v from events) t")
+def human_duration_ns(s, d):
+    v = (F.col("event_id") * 7919 * 1024) % 1_000_000_000
+    return read_table(s, d, "events").select("event_id", human.duration_ns(v).alias("duration"))
+
+
+@query("select source_id as id, unnest(list_distinct(['gzip', 'zlib', 'bzip2'])) as method, strlen(filename) as size from (select distinct source_id, filename from sources)")
+def inflate_methods(s, d):
+    import bz2
+
+    from bitloom.sources.formats import inflated
+
+    pack = {"gzip": gzip.compress, "zlib": zlib.compress, "bzip2": bz2.compress}
+    rows = read_table(s, d, "sources").select(F.col("source_id").alias("id"), "filename").distinct()
+    parts = []
+    for name, f in sorted(pack.items()):
+
+        def squeeze(texts: pd.Series, f=f) -> pd.Series:
+            return pd.Series([f(t.encode()) for t in texts], dtype=object)
+
+        packed = rows.select("id", F.pandas_udf(squeeze, "binary", F.PandasUDFType.SCALAR)("filename").alias("content"))
+        parts.append(packed.select("id", F.lit(name).alias("method"), F.octet_length(inflated(F.col("content"), name)).cast("bigint").alias("size")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
