@@ -10,7 +10,8 @@ MAC_OFFSET, WIN_OFFSET, UUID_OFFSET = 2_082_844_800, 11_644_473_600, 12_219_292_
 
 
 def _micros(value: Column) -> Column:
-    return F.timestamp_micros(value.cast("bigint")).cast("timestamp_ntz")
+    # counted on the calendar without zone, whatever the session's zone is
+    return F.timestamp_add("MICROSECOND", value.cast("bigint"), F.expr("timestamp_ntz'1970-01-01'"))
 
 
 def unix(value: Column) -> Column:

@@ -288,7 +288,7 @@ def progress_percent(s, d):
 def event_windows(s, d):
     from bitloom.streaming.events import windowed
 
-    return windowed(read_table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 hour").withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
+    return windowed(read_table(s, d, "events"), "1 hour").withColumn("total", F.round("total", 4))
 
 
 # -- metadata
@@ -453,7 +453,7 @@ def padding_align(s, d):
 
 @query("""select o_orderkey, o_orderdate as unix_time, o_orderdate as mac_time, o_orderdate as win_time, o_orderdate as uuid_time from orders""")
 def epochs_roundtrip(s, d):
-    unix = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    unix = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("o_orderdate"))
     return read_table(s, d, "orders").select(
         "o_orderkey", epochs.unix(unix).alias("unix_time"), epochs.mac32(unix + epochs.MAC_OFFSET).alias("mac_time"),
         epochs.win64((unix + epochs.WIN_OFFSET) * 10_000_000).alias("win_time"), epochs.uuid60((unix + epochs.UUID_OFFSET) * 10_000_000).alias("uuid_time"),
@@ -592,8 +592,7 @@ select user_id, min(ts) as session_start, max(ts) + interval '30 minutes' as ses
 def event_sessions(s, d):
     from bitloom.streaming.events import sessions
 
-    rows = sessions(read_table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "30 minutes")
-    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+    return sessions(read_table(s, d, "events"), "30 minutes")
 
 
 @query("select event_id, case when v < 1000 then v || ' nsec' when v < 1000000 then printf('%.2f usec', v / 1000.0::double) else printf('%.2f ms', v / 1000000.0::double) end as duration from (select event_id, (event_id * 7919 * 1024) % 1000000000 as v from events) t")

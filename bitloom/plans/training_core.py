@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.operators import nested, timestamps
 from bitloom.sources import read_table
 
 
+def _seconds(column: str) -> Column:
+    """Seconds since 1970 of a timestamp without zone, in UTC."""
+    return F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col(column))
+
+
 def date_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dated row once: row_id, source_id, volume_id, value, ingest_s, tz_name, date_order, and its UTC second.
 
     The volumes table is fixed in size (240 rows); whether it is broadcast is left to its measured size.
     """
     items = read_table(spark, sf_dir, "metadata_items").where(F.col("meta_key").isin("creation_date", "last_modification"))
-    items = items.select(F.col("item_id").alias("row_id"), "source_id", "volume_id", "value", F.unix_seconds(F.col("received_at").cast("timestamp")).alias("ingest_s"))
+    items = items.select(F.col("item_id").alias("row_id"), "source_id", "volume_id", "value", _seconds("received_at").alias("ingest_s"))
     items = items.groupBy("row_id").agg(F.min(F.struct("ingest_s", "source_id", "volume_id", "value")).alias("m")).select("row_id", "m.source_id", "m.volume_id", "m.value", "m.ingest_s")
-    owners = read_table(spark, sf_dir, "sources").groupBy("source_id").agg(F.min("volume_id").alias("volume_id"), F.min(F.unix_seconds(F.col("ingested_at").cast("timestamp"))).alias("ingest_s"))
+    owners = read_table(spark, sf_dir, "sources").groupBy("source_id").agg(F.min("volume_id").alias("volume_id"), F.min(_seconds("ingested_at")).alias("ingest_s"))
     fields = timestamps.msdos_values(read_table(spark, sf_dir, "field_rows")).join(owners, "source_id", "left").select("row_id", "source_id", "volume_id", "value", "ingest_s")
     volumes = read_table(spark, sf_dir, "volumes").select("volume_id", "tz_name", "date_order")
     return timestamps.normalise_timestamps(items.unionByName(fields).join(volumes, "volume_id", "left"))
@@ -37,7 +42,7 @@ def p1_method(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dated row with its UTC time, null where it denotes nothing."""
-    return date_events(spark, sf_dir).select("row_id", "source_id", "value", F.timestamp_seconds("utc_s").cast("timestamp_ntz").alias("utc_time"))
+    return date_events(spark, sf_dir).select("row_id", "source_id", "value", F.timestamp_add("SECOND", F.col("utc_s"), F.expr("timestamp_ntz'1970-01-01'")).alias("utc_time"))
 
 
 def flat_records(spark: SparkSession, sf_dir: str, keep_body: bool = True) -> DataFrame:
