@@ -12,6 +12,8 @@ import datetime
 import re
 import zoneinfo
 from functools import reduce
+from importlib import resources
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,6 +67,19 @@ def known_zone(name: Column) -> Column:
     return F.when(name.isin(*sorted(zoneinfo.available_timezones())), name)
 
 
+def iana_histories() -> dict[str, list[str]]:
+    """One zone per history of the IANA database -> all names of that history (the same transitions and rules).
+
+    The first name in order stands for a history. Names without a region other than UTC are old aliases, left out.
+    """
+    groups: dict[bytes, list[str]] = {}
+    for name in sorted(x for x in zoneinfo.available_timezones() if x == "UTC" or "/" in x and not x.startswith("SystemV/")):
+        file = next((f for root in zoneinfo.TZPATH if (f := Path(root, name)).is_file()), None)
+        data = file.read_bytes() if file else (resources.files("tzdata") / "zoneinfo" / name).read_bytes()
+        groups.setdefault(data, []).append(name)
+    return {names[0]: names for names in groups.values()}
+
+
 def parse_one(value: str | None, month_first: bool, compiled: list[re.Pattern], zones: dict[str, str]) -> tuple[int | None, int | None, str | None, int | None]:
     """(local, offset, zone, utc) of a written date and time in seconds; all None for what denotes no second.
 
@@ -197,6 +212,14 @@ def estimate_zones(events: DataFrame, candidates: list[str]) -> DataFrame:
     return best.select("volume_id", F.col("b.zone").alias("zone"), F.col("b.violations").alias("violations"), (-F.col("b.less")).alias("aligned"))
 
 
+def by_estimated_zone(events: DataFrame, candidates: list[str]) -> DataFrame:
+    """``events`` with estimated_zone and with utc_s by it: values that name a zone or count from an epoch keep their second, others
+    are converted by what :func:`estimate_zones` finds for their volume (null where it finds none)."""
+    zones = estimate_zones(events, candidates).select("volume_id", F.col("zone").alias("estimated_zone"))
+    out = with_utc(events.join(zones, "volume_id", "left"), "local_s", "estimated_zone", "_by")
+    return out.withColumn("utc_s", F.when(F.col("has_zone"), F.col("utc_s")).otherwise(F.col("_by"))).drop("_by")
+
+
 def same_second_pairs(events: DataFrame) -> DataFrame:
     """(row_lo, row_hi) of distinct row ids of one source and one UTC second; an equi-join, undetermined rows give none."""
     known = events.where(F.col("utc_s").isNotNull() & F.col("source_id").isNotNull()).select("source_id", "utc_s", "row_id")

@@ -33,11 +33,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_method(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The zone of every volume as the alignment estimates it, beside the one written down."""
-    volumes = read_table(spark, sf_dir, "volumes").select("volume_id", "tz_name")
-    names = [r[0] for r in volumes.select(timestamps.known_zone(F.col("tz_name")).alias("z")).where("z is not null").distinct().orderBy("z").collect()]
-    found = timestamps.estimate_zones(date_events(spark, sf_dir), names)
-    return volumes.join(found, "volume_id", "left").withColumnRenamed("zone", "estimated_zone")
+    """Every dated row with its UTC time by its volume's estimated zone, which the written zones have no part in."""
+    found = timestamps.by_estimated_zone(date_events(spark, sf_dir), sorted(timestamps.iana_histories()))
+    return found.select("row_id", "source_id", "volume_id", "value", "estimated_zone", F.timestamp_add("SECOND", F.col("utc_s"), F.expr("timestamp_ntz'1970-01-01'")).alias("utc_time"))
 
 
 def p1_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,3 +115,20 @@ def test_estimated_zone(spark):
     got = T.estimate_zones(df, ["Europe/Paris", "America/New_York", "America/Phoenix", "UTC"]).collect()
     assert [(r["volume_id"], r["zone"], r["violations"]) for r in got] == [(1, "America/New_York", 0)]
     assert T.estimate_zones(df.limit(0), ["UTC"]).count() == 0
+
+
+def test_rows_by_estimated_zone(spark):
+    """A zone that nobody wrote down is found among the IANA histories, and every dated row gets its second by it."""
+    histories = T.iana_histories()
+    assert len(histories) > 200 and sum("America/New_York" in x for x in histories.values()) == 1
+    z, data = zoneinfo.ZoneInfo("Asia/Kathmandu"), []
+    for i in range(40):
+        t = utc(2015, 1, 5) + i * 9 * 86400
+        local = t + int(dt.datetime.fromtimestamp(t, z).utcoffset().total_seconds())
+        data += [(2 * i, 1, i, local, None, False, t + 10**8), (2 * i + 1, 1, i, None, t, True, t + 10**8)]
+    data += [(99, 2, 99, utc(2015, 1, 5), None, False, utc(2016, 1, 5)), (100, 2, 100, None, 5, True, 10**9)]
+    df = spark.createDataFrame(data, "row_id long, volume_id int, source_id long, local_s long, utc_s long, has_zone boolean, ingest_s long")
+    got = {r["row_id"]: r for r in T.by_estimated_zone(df, sorted(histories)).collect()}
+    assert len(got) == len(data) and all(got[2 * i]["utc_s"] == got[2 * i + 1]["utc_s"] for i in range(40))
+    assert "Asia/Kathmandu" in histories[got[0]["estimated_zone"]]
+    assert got[99]["utc_s"] is None and got[99]["estimated_zone"] is None and got[100]["utc_s"] == 5
