@@ -70,8 +70,35 @@ def walk(body: str | None, repeating: frozenset[str]) -> Iterator[tuple[str, lis
         stack.extend(reversed(found))
 
 
-def label_nodes(records: DataFrame, body: str = "body", repeating: tuple[str, ...] = REPEATING, keep_body: bool = True) -> DataFrame:
-    """One row (record_id, label, steps, body) per object under a repeating name.
+def members(node: dict, repeating: frozenset[str]) -> dict[str, str | None]:
+    """The object's own values as text by their path within it; what lies in objects that have rows of their own is left to those.
+
+    Lists without objects and empty objects stay JSON text, objects in lists of a name that doesn't repeat are told apart
+    by ``[i]``, and so are values under a repeating name that are no objects. Without recursion, as :func:`walk`.
+    """
+    out: dict[str, str | None] = {}
+    stack = [("", node)]
+    while stack:
+        path, value = stack.pop()
+        value = _decoded(value)
+        if isinstance(value, dict) and (value or not path):
+            for name, x in reversed(value.items()):
+                own = f"{path}/{name}" if path else name
+                if name not in repeating:
+                    stack.append((own, x))
+                    continue
+                x = _decoded(x)
+                plain = [(f"{own}[{i}]", y) for i, y in enumerate(map(_decoded, x if isinstance(x, list) else [x])) if y is not None and not isinstance(y, dict)]
+                stack.extend(reversed(plain))
+        elif isinstance(value, list) and any(isinstance(_decoded(x), (dict, list)) for x in value):
+            stack.extend((f"{path}[{i}]", x) for i, x in reversed(list(enumerate(value))))
+        else:
+            out[path] = value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return out
+
+
+def label_nodes(records: DataFrame, body: str = "body", repeating: tuple[str, ...] = REPEATING, keep_body: bool = True, keep_members: bool = False) -> DataFrame:
+    """One row (record_id, label, steps, body, with ``keep_members`` also members) per object under a repeating name.
 
     Null, empty and unreadable bodies give no row, nulls in lists are counted and give none, a lone object counts as a
     list of one, and JSON text inside the tree is opened. Repeated deliveries of a record fold to one first.
@@ -80,11 +107,11 @@ def label_nodes(records: DataFrame, body: str = "body", repeating: tuple[str, ..
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(rid, label, steps, json.dumps(x, ensure_ascii=False) if keep_body else None) for rid, text in zip(batch["record_id"], batch["body"]) for label, steps, x in walk(text, names)]
-            yield pd.DataFrame(out, columns=["record_id", "label", "steps", "body"])
+            out = [(rid, label, steps, json.dumps(x, ensure_ascii=False) if keep_body else None, *([members(x, names)] if keep_members else [])) for rid, text in zip(batch["record_id"], batch["body"]) for label, steps, x in walk(text, names)]
+            yield pd.DataFrame(out, columns=["record_id", "label", "steps", "body", *(["members"] if keep_members else [])])
 
     once = records.select("record_id", F.col(body).alias("body")).where("body is not null and record_id is not null").dropDuplicates(["record_id"])
-    return once.mapInPandas(run, NODE_SCHEMA)
+    return once.mapInPandas(run, NODE_SCHEMA + (", members map<string, string>" if keep_members else ""))
 
 
 def node_path(steps: Column) -> Column:
@@ -104,6 +131,7 @@ def flatten(nodes: DataFrame) -> DataFrame:
         node_path(above).alias("parent_path"),
         F.regexp_replace(node_path(steps), r"\[\d+\]", "").alias("schema_path"),
         "body",
+        *(["members"] if "members" in nodes.columns else []),
     )
 
 

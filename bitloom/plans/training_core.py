@@ -53,7 +53,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per schema path: rows, records and the longest label."""
-    return flat_records(spark, sf_dir, keep_body=False).groupBy("schema_path").agg(F.count("*").alias("n_rows"), F.countDistinct("record_id").alias("n_records"))
+    return flat_records(spark, sf_dir, keep_body=False).groupBy("schema_path").agg(F.count("*").alias("n_rows"), F.countDistinct("record_id").alias("n_records"), F.max_by("label", F.struct(F.length("label"), "label")).alias("longest_label"))
+
+
+def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat rows of every schema path: each object's own members by their path within it, and the link to its parent."""
+    flat = nested.flatten(nested.label_nodes(read_table(spark, sf_dir, "container_records"), keep_body=False, keep_members=True))
+    return flat.select("record_id", "schema_path", "label", "parent_label", "ordinal", "path", "parent_path", "members")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, str]) -> DataFrame:
+    """The rows of one repeating name: ``columns`` (column: member), and all members."""
+    rows = p3_rows(spark, sf_dir).where(F.element_at(F.split("schema_path", "/"), -1) == name)
+    return rows.select("record_id", "path", "parent_path", *[F.col("members")[m].alias(c) for c, m in columns.items()], "members")
+
+
+def p3_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "page", {x: x for x in ("capture_pattern", "serial", "page_no", "lacing_size", "abs_granule_pos", "first_page", "last_page", "lacing")})
+
+
+def p3_descr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "descr", {"tag": "tag", "size_of_instance": "sizeOfInstance", "es_id": "ES_ID", "url": "URL", "data": "data"})
 
 
 def p3_track_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +87,5 @@ def p3_track_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_method": p1_method, "p1_normalised": p1_normalised,
     "p3_found": p3_found, "p3_tables": p3_tables, "p3_track_entries": p3_track_entries,
+    "p3_rows": p3_rows, "p3_page": p3_page, "p3_descr": p3_descr,
 }

@@ -69,3 +69,24 @@ def test_flatten_links_and_repeated_deliveries(spark):
     assert all(r["parent_label"] in labels | {""} for r in rows.values())
     assert N.table_of(flat, "TrackEntry", {"n": "$.TrackNumber.unsigned"}).where("n = 7").count() == 1
     assert N.flatten(N.label_nodes(df.limit(0))).count() == 0
+
+
+def test_members_of_every_table(spark, tmp_path):
+    from bitloom.plans import training_core as C
+
+    page = {"page_no": "7", "lacing": [1, 2], "last_page": True, "segments": {"chunk": [{"size": 3, "vorbis_hdr": {"rate": 8}}], "n": 1}, "x": None, "y": [{"a": 1}, {"a": 2}]}
+    atom = {"type": "esds", "descr": [{"tag": 3, "ES_ID": 1, "descr": json.dumps([{"tag": 4, "decConfigDescr": {"b": 5}}])}, None, 5]}
+    data = [(1, json.dumps({"page": [page]})), (2, json.dumps({"atom": atom})), (2, json.dumps({"atom": atom}))]
+    spark.createDataFrame(data, "record_id long, body string").write.parquet(f"{tmp_path}/container_records.parquet")
+    rows = {r["path"]: r for r in C.p3_rows(spark, str(tmp_path)).collect()}
+    assert {p: r["members"] for p, r in rows.items()} == {
+        "/page[0]": {"page_no": "7", "lacing": "[1, 2]", "last_page": "true", "segments/n": "1", "x": None, "y[0]/a": "1", "y[1]/a": "2"},
+        "/page[0]/segments/chunk[0]": {"size": "3", "vorbis_hdr/rate": "8"},
+        "/atom[0]": {"type": "esds", "descr[2]": "5"},
+        "/atom[0]/descr[0]": {"tag": "3", "ES_ID": "1"},
+        "/atom[0]/descr[0]/descr[0]": {"tag": "4", "decConfigDescr/b": "5"},
+    }
+    assert rows["/atom[0]/descr[0]/descr[0]"]["parent_path"] == "/atom[0]/descr[0]"
+    assert [(r["page_no"], r["lacing"]) for r in C.p3_page(spark, str(tmp_path)).collect()] == [("7", "[1, 2]")]
+    assert {(r["path"], r["parent_path"], r["tag"]) for r in C.p3_descr(spark, str(tmp_path)).collect()} == {("/atom[0]/descr[0]", "/atom[0]", "3"), ("/atom[0]/descr[0]/descr[0]", "/atom[0]/descr[0]", "4")}
+    assert {r["longest_label"] for r in C.p3_tables(spark, str(tmp_path)).collect()} == {"1", "1.1", "1.1.1"}
