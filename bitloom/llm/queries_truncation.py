@@ -21,6 +21,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.find_truncated(_rows(spark, sf_dir)).where("cut").select("row_id")
 
 
+def p5_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the table with its verdict: the near-copy that it is aligned with, the edits between them and how that copy goes on, or
+    what its closing word tells; null where it has neither."""
+    return truncation.find_truncated(_rows(spark, sf_dir)).select("row_id", "field", "value", "cut", "why", "how", "edits", "copy")
+
+
 def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cut value with the reason."""
     return truncation.find_truncated(_rows(spark, sf_dir)).where("cut").select("row_id", "field", "value", "why")
@@ -32,4 +38,4 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("volume_id", "field").agg(F.count("*").alias("n_values"), F.count_if("cut").alias("n_cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("rate"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_values": p5_values, "p5_rates": p5_rates}
+QUERIES = {"p5_found": p5_found, "p5_method": p5_method, "p5_values": p5_values, "p5_rates": p5_rates}
