@@ -20,9 +20,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).where("garbled").select("item_id")
 
 
+def p4_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item's verdict by the models alone: the likeliest chain's gain, the margin, and the text if the gain is beyond it."""
+    judged, accepted = _judged(spark, sf_dir), F.col("gain") >= F.col("margin")
+    return judged.select("item_id", "value", F.round("gain", 3).alias("gain"), "margin", accepted.alias("garbled"), F.when(accepted, F.col("chain")).alias("chain"), F.when(accepted, F.col("restored")).otherwise(F.col("value")).alias("restored"))
+
+
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each garbled value, the chain that restores it, its gain in bits and the restored text."""
     return _judged(spark, sf_dir).where("garbled").select("item_id", "value", "chain", F.round("gain", 3).alias("gain"), "restored")
 
 
-QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored}
+QUERIES = {"p4_method": p4_method, "p4_found": p4_found, "p4_restored": p4_restored}
