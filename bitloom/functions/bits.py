@@ -54,6 +54,13 @@ def read_bytes(data: Column, offset: int | Column, size: int | Column) -> Column
     return F.substr(data, F.lit(offset) + 1 if isinstance(offset, int) else offset + 1, F.lit(size) if isinstance(size, int) else size)
 
 
+def find_bytes(data: Column, needle: bytes, start: int = 0) -> Column:
+    """Byte offset of the first ``needle`` in ``data`` from ``start`` on; null where there is none. An empty needle is found at once."""
+    # as Latin-1, so that characters are bytes
+    at = F.call_function("locate", F.lit(needle.decode("latin-1")), F.decode(data, "ISO-8859-1"), F.lit(start + 1))
+    return F.when(at > 0, at - 1)
+
+
 def swap16(value: Column) -> Column:
     return F.shiftleft(value.bitwiseAND(0xFF), 8).bitwiseOR(F.shiftright(value, 8).bitwiseAND(0xFF))
 

@@ -26,12 +26,12 @@ def mac32(value: Column) -> Column:
 
 def win64(value: Column) -> Column:
     """Tenths of a microsecond since 1601."""
-    return F.when(value >= 0, _micros((value - value % 10) / 10 - F.lit(WIN_OFFSET * 1_000_000)))
+    return F.when(value >= 0, _micros(F.call_function("div", value, F.lit(10)) - F.lit(WIN_OFFSET * 1_000_000)))
 
 
 def uuid60(value: Column) -> Column:
     """Tenths of a microsecond since 1582-10-15."""
-    return F.when(value >= 0, _micros((value - value % 10) / 10 - F.lit(UUID_OFFSET * 1_000_000)))
+    return F.when(value >= 0, _micros(F.call_function("div", value, F.lit(10)) - F.lit(UUID_OFFSET * 1_000_000)))
 
 
 def msdos32(date: Column, time: Column) -> Column:
@@ -41,9 +41,41 @@ def msdos32(date: Column, time: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
 
 
+# Names of the months, by their first three letters.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_DAY, _MONTH, _FULL = "(?:mon|tue|wed|thu|fri|sat|sun)", "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)", "(january|february|march|april|may|june|july|august|september|october|november|december)"
+_CLOCK = "([0-9]{1,2})~([0-9]{2})~([0-9]{1,2})"
+#: Written forms after runs of - / . : and space have become ~, and which group holds year, month, day, hour, minute, second (0: none).
+FORMS = (
+    ("([0-9]{4})", (1, 0, 0, 0, 0, 0)),
+    ("([0-9]{4})~([01][0-9])~([0-9]{2})", (1, 2, 3, 0, 0, 0)),
+    (f"([0-9]{{4}})~([01][0-9])~([0-9]{{2}})~{_CLOCK}", (1, 2, 3, 4, 5, 6)),
+    (f"([01]?[0-9])~([0-9]{{2}})~([0-9]{{4}})~{_CLOCK}", (3, 1, 2, 4, 5, 6)),
+    (f"{_DAY},~([0-9]{{1,2}})~{_MONTH}~([0-9]{{4}})~{_CLOCK}", (3, 2, 1, 4, 5, 6)),
+    (f"{_DAY}~{_MONTH}~([0-9]{{1,2}})~{_CLOCK}~([0-9]{{4}})", (6, 1, 2, 3, 4, 5)),
+    (f"{_FULL}~([0-9]{{4}})", (2, 1, 0, 0, 0, 0)),
+)
+
+
+def _normal(value: Column) -> Column:
+    # a sign before an offset of four digits at the end stays
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), r"\s+([+-][0-9]{4})$", "@$1"), r"(?<!@)[-/.: ]+", "~")
+
+
+def utc_offset(value: Column) -> Column:
+    """Whole hours of the offset that a written time ends with (+0200); null without one."""
+    return F.regexp_extract(_normal(value), "@([+-][0-9]{2})00$", 1).try_cast("int")
+
+
 def parse_datetime(value: Column) -> Column:
-    """The usual written forms: Y-M-D, Y-M-D h:m:s, M-D-Y h:m:s (any of - / . : between), with a leading weekday dropped."""
-    text = F.regexp_replace(F.trim(value), r"^[A-Za-z]{3},? ", "")
-    text = F.regexp_replace(text, r"[-/.: ]+", "-")
-    forms = ["yyyy-MM-dd-HH-mm-ss", "yyyy-MM-dd", "MM-dd-yyyy-HH-mm-ss", "dd-MMM-yyyy-HH-mm-ss"]
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in forms]).cast("timestamp_ntz")
+    """The written forms: year, Y-M-D, Y-M-D h:m:s, M-D-Y h:m:s (any of - / . : between), "Thu, 19 Jul 2007 09:03:57",
+    "Sun Feb 24 15:51:09 2002", "February 2007", each also with an offset behind, which doesn't move the clock (see
+    :func:`utc_offset`); null for others and for impossible dates."""
+    text = F.regexp_replace(_normal(value), "@[+-][0-9]{2}00$", "")
+    out = []
+    for form, places in FORMS:
+        part = [F.regexp_extract(text, f"^{form}$", g) if g else None for g in places]
+        month = part[1] if part[1] is None else F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(part[1], 1, 3)).cast("int"), F.lit(0)), part[1].try_cast("int"))
+        numbers = [part[0].try_cast("int"), F.lit(1) if month is None else month, *[F.lit(d) if x is None else x.try_cast("int") for x, d in zip(part[2:], (1, 0, 0, 0))]]
+        out.append(F.when(text.rlike(f"^{form}$"), F.try_to_timestamp(F.format_string("%04d-%02d-%02d %02d:%02d:%02d", *numbers), F.lit("yyyy-MM-dd HH:mm:ss"))))
+    return F.coalesce(*out).cast("timestamp_ntz")

@@ -251,6 +251,11 @@ def parse(pattern: str) -> Regex:
             at += 1
             if c == "b":
                 return Anchor("\\b")
+            if c == "x":
+                at += 2
+                return Text(chr(int(pattern[at - 2 : at], 16)))
+            if c.isalnum() and c not in "nrt":
+                raise ValueError(f"the escape \\{c} is not supported")
             return Text({"n": "\n", "r": "\r", "t": "\t"}.get(c, c))
         return Text(c)
 

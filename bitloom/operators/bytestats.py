@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def histogram(rows: DataFrame, keys: list[str], data: Column) -> DataFrame:
-    """(keys, byte, n): how often each byte value occurs; counted per row before the shuffle."""
-    pairs = rows.select(*keys, F.explode(F.regexp_extract_all(F.hex(data), F.lit("(..)"), 1)).alias("h"))
-    return pairs.groupBy(*keys, F.conv("h", 16, 10).cast("int").alias("byte")).agg(F.count("*").alias("n"))
+    """(keys, byte, n): how often each byte value occurs, counted per key and batch before the shuffle; null and empty contents have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sums: dict[tuple, np.ndarray] = {}
+            names = list(zip(*[batch[k] for k in keys])) if keys else [()] * len(batch)
+            for name, content in zip(names, batch["_data"]):
+                if content:
+                    counts = np.bincount(np.frombuffer(content, dtype=np.uint8), minlength=256)
+                    sums[name] = sums[name] + counts if name in sums else counts
+            out = [(*name, int(b), int(counts[b])) for name, counts in sums.items() for b in np.flatnonzero(counts)]
+            yield pd.DataFrame(out, columns=[*keys, "byte", "n"])
+
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("byte", T.IntegerType()), T.StructField("n", T.LongType())])
+    return rows.select(*keys, data.alias("_data")).mapInPandas(run, schema).groupBy(*keys, "byte").agg(F.sum("n").alias("n"))
 
 
 def entropy(counts: DataFrame, keys: list[str]) -> DataFrame:

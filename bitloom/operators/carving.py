@@ -1,9 +1,8 @@
-"""Embedded files found in contents by magic numbers, checked by their readers, with their sizes."""
+"""Embedded files found in contents by magic numbers, checked by their headers, with their sizes."""
 
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,47 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.operators.detect import FORMATS
-from bitloom.sources.formats import READERS, parse_one
+from bitloom.operators.validate import content_size, valid
 
 CARVED_SCHEMA = "id long, offset long, size long, format string, name string"
 
 
-def content_size(data: bytes, name: str) -> int | None:
-    """Bytes that a content of this format takes from the start of ``data``; None if it isn't one, or its end isn't told."""
-    try:
-        if name == "bmp":
-            return struct.unpack_from("<I", data, 2)[0]
-        if name in ("wav", "avi"):
-            return struct.unpack_from("<I", data, 4)[0] + 8 if data[:4] == b"RIFF" else None
-        if name == "au":
-            start, size = struct.unpack_from(">II", data, 4)
-            return start + size
-        if name == "cab":
-            return struct.unpack_from("<I", data, 8)[0]
-        if name == "jpeg":
-            end = data.find(b"\xff\xd9", 2)
-            return end + 2 if end > 0 else None
-        if name in ("gif", "gif87"):
-            end = data.find(b"\0;", 13)
-            return end + 2 if end > 0 else None
-        if name == "zip":
-            end = data.find(b"PK\x05\x06")
-            return end + 22 if end >= 0 else None
-        if name in READERS and name in ("png", "tar", "midi", "flac"):
-            fields = parse_one(data, name)
-            last = {"png": "/end/crc32", "tar": "/terminator"}.get(name)
-            stop = next((a + s for p, a, s, _ in fields if p == last), None) if last else None
-            return stop // 8 if stop else None
-    except struct.error:
-        pass
-    return None
-
-
 def carve_one(data: bytes, formats: tuple[str, ...] | None = None) -> list[tuple[int, int | None, str]]:
     """(offset, size, format) of embedded files, first to last.
 
-    All magic numbers are looked for at once over the whole content, so none is missed at an edge. A hit counts if its size is
-    told and fits, or else if its reader gets past the header; what lies inside a file of known size isn't looked at.
+    All magic numbers are looked for at once over the whole content, so none is missed at an edge. A hit counts if its header is valid
+    (:mod:`bitloom.operators.validate`) and its size, if told, fits; what lies inside a file of known size isn't looked at.
     """
     wanted = [(n, bytes.fromhex(m), o) for n, _, _, _, m, o in FORMATS if m and (formats is None or n in formats)]
     by_magic: dict[bytes, tuple[str, int]] = {}
@@ -64,12 +32,10 @@ def carve_one(data: bytes, formats: tuple[str, ...] | None = None) -> list[tuple
     while (hit := union.search(data, at)) is not None:
         name, offset = by_magic[hit.group()]
         start, at = hit.start() - offset, hit.start() + 1
-        if start < free:
-            continue
-        size = content_size(data[start:], name)
-        if size is not None and not 0 < size <= len(data) - start:
+        if start < free or not valid(data, name, start):
             continue
-        if size is None and (name not in READERS or len(fields := parse_one(data[start:], name)) < 4 or fields[3][0] == "/raw[0]"):
+        size = content_size(data, name, start)
+        if size is not None and size > len(data) - start:
             continue
         out.append((start, size, name))
         free = start + (size or len(hit.group()))

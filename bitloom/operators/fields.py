@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bitloom.sources.tables import checkpoint
+
 
 def lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line: key, ordinal, path, address (bytes), size (bytes, with the line end but for the last), value.
@@ -89,11 +91,36 @@ def containing(probes: DataFrame, fields: DataFrame, page_bits: int = 4096) -> D
     return probes.join(best, ["source_id", "probe_bits"], "left").select("source_id", "probe_bits", F.col("b.path").alias("path"))
 
 
-def gaps(blocks: DataFrame, key: str, start: str, size: str) -> DataFrame:
-    """(key, gap_start, gap_size): stretches that no block covers, between a key's first and last."""
-    order = W.partitionBy(key).orderBy(start, size)
-    reach = F.max(F.col(start) + F.col(size)).over(order.rowsBetween(W.unboundedPreceding, -1))
-    return blocks.withColumn("reach", reach).where(F.col(start) > F.col("reach")).select(key, F.col("reach").alias("gap_start"), (F.col(start) - F.col("reach")).alias("gap_size"))
+def gaps(blocks: DataFrame, key: str, address: str, size: str, ranges: DataFrame) -> DataFrame:
+    """(key, gap_start, gap_size): stretches of each key's range that no block covers, also before the first and after the last.
+
+    ``ranges`` (key, start, length): what is to be covered; a key without blocks is one gap, blocks of other keys count for nothing.
+    Overlapping and repeated blocks count once; blocks without an address or size count as none.
+    """
+    ends = ranges.select(key, F.col("start").cast("bigint").alias("_from"), (F.col("start") + F.col("length")).cast("bigint").alias("_to"))
+    rows = blocks.select(key, F.col(address).cast("bigint").alias("_a"), F.col(size).cast("bigint").alias("_s")).where("_a is not null and _s is not null").join(ends, key)
+    # the end of the range stands as an empty block behind all others
+    rows = rows.withColumn("_last", F.lit(0)).unionByName(ends.select(key, F.col("_to").alias("_a"), F.lit(0).cast("bigint").alias("_s"), "_from", "_to", F.lit(1).alias("_last")))
+    reach = F.max(F.col("_a") + F.col("_s")).over(W.partitionBy(key).orderBy("_last", "_a", "_s").rowsBetween(W.unboundedPreceding, -1))
+    reach = F.greatest(F.coalesce(reach, F.col("_from")), F.col("_from"))
+    return rows.withColumn("_reach", reach).where(F.col("_a") > F.col("_reach")).select(key, F.col("_reach").alias("gap_start"), (F.col("_a") - F.col("_reach")).alias("gap_size"))
+
+
+def depths(rows: DataFrame, keys: list[str], node: str, parent: str, root: str = "/") -> DataFrame:
+    """(keys, node, depth) of every row whose chain of parents leads to ``root``; 1 right below it.
+
+    Pointer doubling: every round joins the chains with themselves, so a chain of n links takes log2(n) rounds, each written to
+    the checkpoint folder. Rows on a cycle, and below a missing parent, have no depth and give no row; repeated rows fold to one.
+    """
+    way = checkpoint(rows.select(*keys, F.col(node).alias("_n"), F.col(parent).alias("_p")).where("_n is not null").distinct().withColumn("_d", F.lit(1).cast("bigint")))
+    rounds = max(1, way.count()).bit_length() + 1
+    for _ in range(rounds):
+        if way.where(F.col("_p") != root).isEmpty():
+            break
+        up = way.select(*keys, F.col("_n").alias("_p"), F.col("_p").alias("_pp"), F.col("_d").alias("_dd"))
+        met = way.where(F.col("_p") != root).join(up, [*keys, "_p"])
+        way = checkpoint(way.where(F.col("_p") == root).unionByName(met.select(*keys, "_n", F.col("_pp").alias("_p"), (F.col("_d") + F.col("_dd")).alias("_d"))))
+    return way.where(F.col("_p") == root).select(*keys, F.col("_n").alias(node), F.col("_d").cast("int").alias("depth"))
 
 
 def overlay(base: DataFrame, changes: DataFrame, deleted: DataFrame, inserted: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions.text import LONGEST, normalize_newline, normalize_string, truncate
+from bitloom.operators.registry import REGISTRY
 
 
 def clean(value: Column) -> Column:
@@ -47,7 +48,9 @@ def plain_text(items: DataFrame, level: int = 9) -> DataFrame:
     """(source_id, report): "- key: value" lines by priority, key and number."""
     once = items.dropDuplicates(["item_id"]).withColumn("value", clean(F.col("value"))).where((F.col("value").isNotNull()) & (F.col("priority") <= level_priority(level)))
     line = F.concat(F.lit("- "), "meta_key", F.lit(": "), "value")
-    sorted_ = F.array_sort(F.collect_list(F.struct("priority", "meta_key", "item_id", line.alias("line"))))
+    # ties of priority in the order of registration; keys that aren't registered come last, by name
+    place = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, (k, *_) in enumerate(REGISTRY) for x in (k, i)]), F.col("meta_key")), F.lit(len(REGISTRY)))
+    sorted_ = F.array_sort(F.collect_list(F.struct("priority", place.alias("place"), "meta_key", "item_id", line.alias("line"))))
     return once.groupBy("source_id").agg(F.array_join(F.transform(sorted_, lambda x: x["line"]), "\n").alias("report"))
 
 

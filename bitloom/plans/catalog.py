@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import bits, epochs, human, strings, text
 from bitloom.operators import bytestats, detect, fields, metadata
+from bitloom.operators.registry import REGISTRY
 from bitloom.sources import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,8 +42,10 @@ def query(sql: str | None = None):
     return add
 
 
-def _lines(s, d):
-    return fields.lines(read_table(s, d, "documents").select("doc_id", "text"))
+def _lines(s, d, having=None):
+    """Lines of the documents, of those whose text has ``having`` (in lower case) if given."""
+    rows = read_table(s, d, "documents").select("doc_id", "text")
+    return fields.lines(rows if having is None else rows.where(F.lower("text").contains(having)))
 
 
 def _fields(s, d):
@@ -54,12 +57,12 @@ def _fields(s, d):
 
 @query(f"with {LINES_SQL} select doc_id, path, address, value from addressed where lower(value) like '%claim%'")
 def grep_lines(s, d):
-    return fields.grep(_lines(s, d), "claim").select("doc_id", "path", "address", "value")
+    return fields.grep(_lines(s, d, "claim"), "claim").select("doc_id", "path", "address", "value")
 
 
 @query(f"with {LINES_SQL} select doc_id || ':' || address || ':' || path || ':' || value as line from addressed where contains(value, 'CLAIMS')")
 def grep_output(s, d):
-    return fields.grep(_lines(s, d), "CLAIMS", case=True).select(F.concat_ws(":", "doc_id", "address", "path", "value").alias("line"))
+    return fields.grep(_lines(s, d, "claims"), "CLAIMS", case=True).select(F.concat_ws(":", "doc_id", "address", "path", "value").alias("line"))
 
 
 @query(f"with {ITEMS_SQL} select item_id, meta_key, value from items where contains(lower(value), 'wind')")
@@ -120,11 +123,7 @@ def link_self_join(s, d):
 @query(f"""with recursive {FIELDS_SQL}, walk as (select source_id, path, 1 as depth from f where parent_path = '/' union all select f.source_id, f.path, depth + 1 from f join walk on walk.source_id = f.source_id and f.parent_path = walk.path)
 select source_id, path, depth from walk""")
 def chain_traversal(s, d):
-    _fields(s, d).select("source_id", "path", "parent_path").createOrReplaceTempView("chain_fields")
-    return s.sql(
-        "with recursive walk(source_id, path, depth) as (select source_id, path, 1 from chain_fields where parent_path = '/'"
-        " union all select f.source_id, f.path, depth + 1 from chain_fields f join walk on walk.source_id = f.source_id and f.parent_path = walk.path) select source_id, path, depth from walk"
-    )
+    return fields.depths(_fields(s, d), ["source_id"], "path", "parent_path")
 
 
 @query("select distinct source_id from sources where source_id not in (select source_id from field_rows) and source_id in (select source_id from metadata_items where meta_key = 'title')")
@@ -133,10 +132,13 @@ def anti_semi_fields(s, d):
     return read_table(s, d, "sources").select("source_id").distinct().join(read_table(s, d, "field_rows"), "source_id", "left_anti").join(titles, "source_id", "left_semi")
 
 
-@query(f"""with {FIELDS_SQL}, r as (select source_id, address_bits, size_bits, max(address_bits + size_bits) over (partition by source_id order by address_bits, size_bits rows between unbounded preceding and 1 preceding) as reach from f where parent_path = '/')
-select source_id, reach as gap_start, address_bits - reach as gap_size from r where address_bits > reach""")
+@query(f"""with {FIELDS_SQL}, ends as (select source_id, min(filesize) * 8 as stop from sources group by 1),
+b as (select f.source_id, address_bits as a, size_bits as n, 0 as last from f join ends on ends.source_id = f.source_id where parent_path = '/' and address_bits is not null and size_bits is not null union all select source_id, stop, 0, 1 from ends),
+r as (select source_id, a, greatest(coalesce(max(a + n) over (partition by source_id order by last, a, n rows between unbounded preceding and 1 preceding), 0), 0) as reach from b)
+select source_id, cast(reach as bigint) as gap_start, cast(a - reach as bigint) as gap_size from r where a > reach""")
 def gap_finder(s, d):
-    return fields.gaps(_fields(s, d).where("parent_path = '/'"), "source_id", "address_bits", "size_bits")
+    whole = read_table(s, d, "sources").groupBy("source_id").agg((F.min("filesize") * 8).alias("length")).withColumn("start", F.lit(0))
+    return fields.gaps(_fields(s, d).where("parent_path = '/'"), "source_id", "address_bits", "size_bits", whole)
 
 
 @query(f"with {ITEMS_SQL} select source_id, meta_key, string_agg(value, '|' order by ord, item_id) as joined, count(*) as n_parts from items where meta_key = 'creation_date' and value is not null group by 1, 2")
@@ -169,12 +171,15 @@ def detect_by_extension(s, d):
     return detect.by_extension(read_table(s, d, "sources").select("source_id", "filename").distinct())
 
 
-@query("""select record_id, min(case when body like '{"Segment"%' then 'mkv' when body like '{"page"%' then 'ogg' when body like '{"atom"%' then 'mp4' end) as guess, min(container_kind) as container_kind from container_records where body is not null group by 1""")
+_MAGIC = [f for f in detect.FORMATS if f[4]]
+
+
+@query(f"select distinct source_id, case source_id % {len(_MAGIC)} {' '.join(f'when {i} then {chr(39)}{f[0]}{chr(39)}' for i, f in enumerate(_MAGIC))} end as guess from sources")
 def detect_by_magic(s, d):
-    # the opening name of a record's text is its magic
-    head = F.regexp_extract(F.substring("body", 1, 40), r'^\{"(\w+)"', 1)
-    guess = F.element_at(F.create_map(*[F.lit(x) for x in ("Segment", "mkv", "page", "ogg", "atom", "mp4")]), head)
-    return read_table(s, d, "container_records").where("body is not null").groupBy("record_id").agg(F.min(guess).alias("guess"), F.min("container_kind").alias("container_kind"))
+    """Contents that begin with each format's magic number at its place."""
+    heads = F.array(*[F.lit("2e" * f[5] + f[4]) for f in _MAGIC])
+    content = F.unhex(F.concat(F.element_at(heads, (F.col("source_id") % len(_MAGIC) + 1).cast("int")), F.lit("2e2e2e")))
+    return read_table(s, d, "sources").select("source_id").distinct().select("source_id", detect.magic_format(content).alias("guess"))
 
 
 @query("select byte, count(*) as n from (select ('0x' || substr(h, i, 2))::int as byte from (select hex(encode(coalesce(value, ''))) as h from metadata_items) t, lateral (select unnest(generate_series(1, length(h) - 1, 2)) as i) u) group by 1")
@@ -215,6 +220,13 @@ def carve_stats(s, d):
     return hits.groupBy("pattern").agg(F.sum("hits").alias("hits"), F.count_if(F.col("hits") > 0).alias("valid"))
 
 
+@query("select 'gif' as format, 2 * count(distinct source_id) as hits, 2 * count(distinct source_id) as valid from sources union all select 'wav', count(distinct source_id), count(distinct source_id) from sources")
+def carved_file_stats(s, d):
+    from bitloom.operators import carving
+
+    return carving.statistics(carving.carve_files(_mixed_images(s, d).select("id", F.concat("gif", "wav", "gif").alias("content"))))
+
+
 @query("select doc_id, i // 1024 as slice_no, length(substr(text, i + 1, 1024 + 16)) as n from (select doc_id, text, unnest(generate_series(0, greatest(length(text) - 1, 0), 1024)) as i from documents)")
 def carve_slices(s, d):
     parts = bytestats.slices(read_table(s, d, "documents"), ["doc_id"], F.col("text"), 1024, 16)
@@ -223,8 +235,7 @@ def carve_slices(s, d):
 
 @query("select doc_id, case when contains(text, 'mm') then strlen(split_part(text, 'mm', 1)) else -1 end as address from documents")
 def find_bytes(s, d):
-    head = F.split_part(F.col("text"), F.lit("mm"), F.lit(1))
-    return read_table(s, d, "documents").select("doc_id", F.when(F.col("text").contains("mm"), F.octet_length(head)).otherwise(-1).cast("bigint").alias("address"))
+    return read_table(s, d, "documents").select("doc_id", F.coalesce(bits.find_bytes(F.encode("text", "UTF-8"), b"mm"), F.lit(-1)).cast("bigint").alias("address"))
 
 
 @query("select doc_id, lower(substr(hex(encode(text)), 21, 64)) as part from documents")
@@ -299,9 +310,7 @@ def metadata_dict_last_wins(s, d):
     return metadata.dictionary(read_table(s, d, "metadata_items"))
 
 
-@query("""with items as (select distinct item_id, source_id, meta_key, priority, trim(value, chr(32) || chr(9) || chr(11) || chr(10) || chr(13)) as value from metadata_items),
-c as (select *, case when length(value) > 300 then substr(value, 1, 300) || '(...)' else value end as v from items where value <> '')
-select source_id, string_agg('- ' || meta_key || ': ' || v, chr(10) order by priority, meta_key, item_id) as report from c where priority <= 499 group by 1""")
+@query("with items as (select distinct item_id, source_id, meta_key, priority, trim(value, chr(32) || chr(9) || chr(11) || chr(10) || chr(13)) as value from metadata_items), c as (select *, case when length(value) > 300 then substr(value, 1, 300) || '(...)' else value end as v from items where value <> '') select source_id, string_agg('- ' || meta_key || ': ' || v, chr(10) order by priority, coalesce(list_position(" + str([k for k, *_ in REGISTRY]) + ", meta_key), 999), meta_key, item_id) as report from c where priority <= 499 group by 1")
 def metadata_priority_report(s, d):
     return metadata.plain_text(read_table(s, d, "metadata_items"), 4)
 
@@ -314,11 +323,12 @@ def metadata_dedup_prefix(s, d):
 @query("""with i as (select source_id, max(case when meta_key = 'width' then try_cast(value as bigint) end) as width, max(case when meta_key = 'height' then try_cast(value as bigint) end) as height, max(case when meta_key = 'bits_per_pixel' then try_cast(value as bigint) end) as bpp from metadata_items group by 1)
 select i.source_id, round(width * height * coalesce(bpp, 24) / 8.0 / filesize, 6) as ratio from i join (select source_id, min(filesize) as filesize from sources group by 1) s on s.source_id = i.source_id where width is not null and height is not null and filesize > 0""")
 def compression_ratio(s, d):
-    number = lambda k: F.max(F.when(F.col("meta_key") == k, F.col("value").try_cast("bigint"))).alias(k)
-    i = read_table(s, d, "metadata_items").where(F.col("meta_key").isin("width", "height", "bits_per_pixel")).groupBy("source_id").agg(number("width"), number("height"), number("bits_per_pixel"))
-    sizes = read_table(s, d, "sources").groupBy("source_id").agg(F.min("filesize").alias("filesize"))
-    ratio = F.col("width") * F.col("height") * F.coalesce("bits_per_pixel", F.lit(24)) / 8.0 / F.col("filesize")
-    return i.join(sizes, "source_id").where("width is not null and height is not null and filesize > 0").select("source_id", F.round(ratio, 6).alias("ratio"))
+    from bitloom.operators.extract import derived
+
+    whole = F.col("value").try_cast("bigint").cast("string").alias("value")
+    items = read_table(s, d, "metadata_items").where(F.col("meta_key").isin("width", "height", "bits_per_pixel")).select(F.col("source_id").alias("id"), F.lit("Common").alias("group_name"), "meta_key", whole)
+    sizes = read_table(s, d, "sources").groupBy(F.col("source_id").alias("id")).agg(F.min("filesize").alias("size")).where("size > 0")
+    return derived(items, sizes).where("compression_rate is not null").select(F.col("id").alias("source_id"), F.round("compression_rate", 6).alias("ratio"))
 
 
 @query("select item_id, min(try_cast(value as double)) as n from metadata_items where meta_key = 'sample_rate' and try_cast(value as double) between 1 and 192000 group by 1")
@@ -387,9 +397,9 @@ def truncate_300(s, d):
     return read_table(s, d, "documents").select("doc_id", text.truncate(F.col("text")).alias("value"))
 
 
-@query("select doc_id, replace(replace(replace(text, chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') as value from documents")
+@query(r"select doc_id, replace(replace(replace(text, chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '\0\3\n\x10 \x7f' as value from documents")
 def make_printable(s, d):
-    return read_table(s, d, "documents").select("doc_id", text.printable(F.col("text")).alias("value"))
+    return read_table(s, d, "documents").select("doc_id", text.printable(F.concat("text", F.lit("\0\x03\x0a\x10 \x7f"))).alias("value"))
 
 
 @query(f"with {ITEMS_SQL} select item_id, regexp_replace(value, '([\\]\\[^.+*?{{}}|()\\\\$])', '\\\\\\1', 'g') as value from items where value is not null and meta_key = 'title'")
@@ -397,9 +407,14 @@ def escape_regex(s, d):
     return read_table(s, d, "metadata_items").where("value is not null and meta_key = 'title'").select("item_id", text.escape_regex(F.col("value")).alias("value")).distinct()
 
 
-@query(f"with {ITEMS_SQL} select item_id, case when strlen(value) = length(value) then 'ASCII' else 'UTF-8' end as charset from items where value is not null")
+@query("select p_partkey, case p_partkey % 8 when 0 then 'ASCII' when 1 then 'UTF-8' when 2 then 'UTF-8' when 3 then 'MacRoman' when 4 then 'ISO-8859-1' when 5 then 'ISO-8859-15' when 6 then 'ISO-8859-7' end as charset from part")
 def charset_guess(s, d):
-    return read_table(s, d, "metadata_items").where("value is not null").dropDuplicates(["item_id"]).select("item_id", text.charset(F.encode("value", "UTF-8")).alias("charset"))
+    # bytes beyond ASCII that tell each charset; the last ones tell none
+    tails = F.array(*[F.lit(x) for x in ("", "c3a9", "efbbbf61", "a8", "e96ce9", "a4", "b8eae4eff3e7", "ff81")])
+    k = (F.col("p_partkey") % 8).cast("int")
+    tail = F.element_at(tails, k + 1)
+    data = F.unhex(F.when(k == 2, F.concat(tail, F.hex(F.encode("p_partkey", "UTF-8")))).otherwise(F.concat(F.hex(F.encode(F.col("p_partkey").cast("string"), "UTF-8")), tail)))
+    return read_table(s, d, "part").select("p_partkey", text.charset(data).alias("charset"))
 
 
 @query("select distinct source_id, case when filesize < 10000 then filesize || ' bytes' when filesize < 1048576 then printf('%.1f KB', filesize / 1024.0::double) when filesize < 1073741824 then printf('%.1f MB', filesize / 1048576.0::double) else printf('%.1f GB', filesize / 1073741824.0::double) end as size from sources")
@@ -419,7 +434,7 @@ def human_frequency(s, d):
 
 
 @query("""with p as (select event_id, event_id * 86413777 as v from events), u as (select event_id, v, v // 31536000000 as y, v % 31536000000 // 86400000 as d, v % 86400000 // 3600000 as h, v % 3600000 // 60000 as m, v % 60000 // 1000 as sec, v % 1000 as ms from p)
-select event_id, case when v = 0 then '0 ms' else array_to_string(list_filter([case when y > 0 then y || case when y > 1 then ' years' else ' year' end end, case when d > 0 then d || case when d > 1 then ' days' else ' day' end end, case when h > 0 then h || case when h > 1 then ' hours' else ' hour' end end, case when m > 0 then m || ' min' end, case when sec > 0 then sec || ' sec' end, case when ms > 0 then ms || ' ms' end], lambda x: x is not null)[1:3], ' ') end as duration from u""")
+select event_id, case when v = 0 then '0 ms' else array_to_string(list_filter([case when y > 0 then y || ' years' end, case when d > 0 then d || ' days' end, case when h > 0 then h || ' hours' end, case when m > 0 then m || ' min' end, case when sec > 0 then sec || ' sec' end, case when ms > 0 then ms || ' ms' end], lambda x: x is not null)[1:3], ' ') end as duration from u""")
 def human_duration(s, d):
     return read_table(s, d, "events").select("event_id", human.duration_ms(F.col("event_id") * 86413777).alias("duration"))
 
@@ -428,7 +443,7 @@ def human_duration(s, d):
 select p_partkey, '-' || case when t[4] = '1' then 'r' else '-' end || case when t[5] = '1' then 'w' else '-' end || case when t[1] = '1' then case when t[6] = '1' then 's' else 'S' end when t[6] = '1' then 'x' else '-' end
 || case when t[7] = '1' then 'r' else '-' end || case when t[8] = '1' then 'w' else '-' end || case when t[2] = '1' then case when t[9] = '1' then 's' else 'S' end when t[9] = '1' then 'x' else '-' end
 || case when t[10] = '1' then 'r' else '-' end || case when t[11] = '1' then 'w' else '-' end || case when t[3] = '1' then case when t[12] = '1' then 't' else 'T' end when t[12] = '1' then 'x' else '-' end
-|| ' (' || case when v >= 512 then (v // 512)::varchar else '' end || ((v // 64) % 8) || ((v // 8) % 8) || (v % 8) || ')' as mode from b""")
+|| ' (' || to_base(v, 8) || ')' as mode from b""")
 def unix_attributes(s, d):
     return read_table(s, d, "part").select("p_partkey", human.unix_attributes((F.col("p_partkey") * 131) % 4096).alias("mode"))
 
@@ -440,7 +455,7 @@ def bit_functions(s, d):
     raw = F.unhex(bits.int_to_hex(k, 4))
     return read_table(s, d, "orders").select(
         "o_orderkey", bits.hexadecimal(k, 32).alias("hexa"), F.lower(bits.int_to_hex(k, 4)).alias("raw_big"), bits.needed_bits(k).alias("needed"), bits.bit_text(k, 32).alias("bit_text"),
-        bits.bytes_to_int(raw, bits.LITTLE).cast("bigint").alias("swapped"), bits.read_bits(raw, 24, 5).alias("five_bits"),
+        bits.swap32(k.cast("bigint")).alias("swapped"), bits.read_bits(raw, 24, 5).alias("five_bits"),
     )
 
 
@@ -451,12 +466,13 @@ def padding_align(s, d):
     return read_table(s, d, "part").select("p_partkey", bits.padding_size(v, 8).alias("padding"), bits.align_value(v, 8).alias("aligned"), bits.octal_to_int(F.lit("9x")).alias("bad_octal"), octal.alias("octal"))
 
 
-@query("""select o_orderkey, o_orderdate as unix_time, o_orderdate as mac_time, o_orderdate as win_time, o_orderdate as uuid_time from orders""")
+@query("""select o_orderkey, o_orderdate as unix_time, o_orderdate as mac_time, o_orderdate + to_microseconds(o_orderkey * 7919 % 1000000) as win_time, o_orderdate + to_microseconds(o_orderkey * 7919 % 1000000) as uuid_time from orders""")
 def epochs_roundtrip(s, d):
     unix = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("o_orderdate"))
+    ticks = (F.col("o_orderkey").cast("bigint") * 7919 % 1_000_000) * 10 + F.col("o_orderkey") % 10  # tenths of a microsecond, odd ones too
     return read_table(s, d, "orders").select(
         "o_orderkey", epochs.unix(unix).alias("unix_time"), epochs.mac32(unix + epochs.MAC_OFFSET).alias("mac_time"),
-        epochs.win64((unix + epochs.WIN_OFFSET) * 10_000_000).alias("win_time"), epochs.uuid60((unix + epochs.UUID_OFFSET) * 10_000_000).alias("uuid_time"),
+        epochs.win64((unix + epochs.WIN_OFFSET) * 10_000_000 + ticks).alias("win_time"), epochs.uuid60((unix + epochs.UUID_OFFSET) * 10_000_000 + ticks).alias("uuid_time"),
     )
 
 
@@ -467,11 +483,15 @@ def epoch_msdos(s, d):
     return read_table(s, d, "orders").where(F.year(t) >= 1980).select("o_orderkey", epochs.msdos32(date, F.lit(13 << 11 | 37 << 5 | 21)).alias("at"))
 
 
-@query("select o_orderkey, o_orderdate as iso, o_orderdate as us, date_trunc('day', o_orderdate) as day_only from orders")
+@query("""select o_orderkey, o_orderdate as iso, o_orderdate as us, date_trunc('day', o_orderdate) as day_only, date_trunc('year', o_orderdate) as year_only, o_orderdate as mail, cast(o_orderkey % 12 as int) as mail_offset, o_orderdate as riff, date_trunc('month', o_orderdate) as month_only, null::timestamp as other from orders""")
 def parse_datetime(s, d):
     t = F.col("o_orderdate")
     form = lambda f: epochs.parse_datetime(F.date_format(t, f))
-    return read_table(s, d, "orders").select("o_orderkey", form("yyyy/MM/dd HH:mm:ss").alias("iso"), form("MM-dd-yyyy HH:mm:ss").alias("us"), form("yyyy.MM.dd").alias("day_only"))
+    mail = F.concat(F.date_format(t, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +"), F.lpad((F.col("o_orderkey") % 12).cast("string"), 2, "0"), F.lit("00"))
+    return read_table(s, d, "orders").select(
+        "o_orderkey", form("yyyy/MM/dd HH:mm:ss").alias("iso"), form("MM-dd-yyyy HH:mm:ss").alias("us"), form("yyyy.MM.dd").alias("day_only"), form("yyyy").alias("year_only"),
+        epochs.parse_datetime(mail).alias("mail"), epochs.utc_offset(mail).alias("mail_offset"), form("EEE MMM d HH:mm:ss yyyy").alias("riff"), form("MMMM yyyy").alias("month_only"), form("d MMMM yyyy").alias("other"),
+    )
 
 
 @query("select p_partkey, round(case when p_size % 2 = 0 then 1 else -1 end * (p_size + (p_partkey % 60) / 60.0 + (p_partkey % 7) / 3600.0), 9) as degrees from part")
@@ -552,12 +572,22 @@ def strip_png(s, d):
     return _pictures(s, d).select("id", stripped(F.col("content"), F.lit("png")).alias("s")).select("id", "s.removed_bits")
 
 
-@query("select distinct source_id as id, source_id % 97 as \"offset\", 8 + 25 + 12 + 6 + length(filename) + 12 as size, 'file-0001.png' as name from sources")
+def _mixed_images(s, d):
+    """A picture, a sound and a tiny picture per source."""
+    gif = b"GIF89a" + struct.pack("<HHBBB", 3, 2, 0, 0, 0) + b";"
+    wav = b"RIFF" + struct.pack("<I", 44) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", 8) + b"8 bytes."
+    return _pictures(s, d).withColumns({"gif": F.lit(gif), "wav": F.lit(wav)})
+
+
+@query("""with s as (select distinct source_id as id, source_id % 97 as k, 8 + 25 + 12 + 6 + length(filename) + 12 as n from sources)
+select id, k + 6 as "offset", n as size, 'file-0001.png' as name from s union all select id, k + n + 12, 52, 'file-0002.wav' from s union all select id, k + n + 70, 14, 'file-0003.gif' from s""")
 def carve_embedded(s, d):
+    """Files of several formats among magic numbers that begin none, all formats searched for."""
     from bitloom.operators.carving import carve_files
 
-    filler = F.encode(F.repeat(F.lit("."), (F.col("id") % 97).cast("int")), "UTF-8")
-    return carve_files(_pictures(s, d).select("id", F.concat(filler, "content", filler).alias("content")), ("png",)).select("id", "offset", "size", "name")
+    filler, false = F.encode(F.repeat(F.lit("."), (F.col("id") % 97).cast("int")), "UTF-8"), F.lit(b"BM4!MZ")
+    content = F.concat(filler, false, "content", false, "wav", false, "gif", filler)
+    return carve_files(_mixed_images(s, d).select("id", content.alias("content"))).select("id", "offset", "size", "name")
 
 
 # -- strings, exports, sessions

@@ -75,3 +75,13 @@ def test_metadata_of_contents(spark):
     assert more[1]["bit_rate"] == 2 * 22050 * 16 and abs(more[1]["duration_s"] - 400 / 88200) < 1e-9 and more[2]["compression_rate"] == 1005 / len(CASES["tar"][0])
     out = df.select(editing.stripped(F.col("content"), F.lit("png")).alias("s"))
     assert out.where("s.removed_bits > 0").count() == 1
+
+
+def test_random_bytes_hold_no_files():
+    noise = random.Random(3).randbytes(8 << 20)
+    assert carving.carve_one(noise) == []
+    false = b"MZ" + bytes(80) + b"BM\x05\0\0\0" + b"PK\x03\x04" + b"\xff" * 30 + b"\xff\xd8\xff" + b"ID3\xff\xff"
+    for name, (content, *_) in CASES.items():
+        if name != "zlib":
+            got = carving.carve_one(false + content + false + noise[:1000])
+            assert (len(false), len(content), name) in got, (name, got)

