@@ -14,7 +14,8 @@ from bitloom.sources.formats import parse_one
 # Format, parts that are dropped (by the first part of the path).
 DROPPED = {
     "png": re.compile(r"^/(text\[\d+\]|time)/"), "jpeg": re.compile(r"^/(comment|exif|photoshop|adobe)\[\d+\]/"), "mpeg_audio": re.compile(r"^/(id3v1|id3v2)/"),
-    "au": re.compile(r"^/info$"), "wav": re.compile(r"^/(chunk\[\d+\]|nb_sample)/"),
+    "au": re.compile(r"^/info$"), "wav": re.compile(r"^/(info|nb_sample)/"),
+    "avi": re.compile(r"^/info/"),
 }
 
 
@@ -42,7 +43,8 @@ def strip_one(data: bytes, name: str) -> tuple[bytes, int]:
                 out[address // 8 : address // 8 + 512] = entry
                 removed += (8 + 8 + 12 + 32 + 32) * 8
         return bytes(out), removed
-    drop = [(a // 8, (a + s) // 8) for p, a, s, _ in fields if DROPPED[name].match(p)]
+    unused = {p.rsplit("/", 1)[0] for p, _, _, v in fields if name in ("wav", "avi") and p.endswith("/tag") and v == "JUNK"}
+    drop = [(a // 8, (a + s) // 8) for p, a, s, _ in fields if DROPPED[name].match(p) or p.rsplit("/", 1)[0] in unused]
     if not drop:
         return data, 0
     kept, at = [], 0
@@ -52,7 +54,7 @@ def strip_one(data: bytes, name: str) -> tuple[bytes, int]:
     out = bytearray(b"".join([*kept, data[at:]]))
     if name == "au":  # the sound starts right after the fixed header
         struct.pack_into(">I", out, 4, 24)
-    if name == "wav":
+    if name in ("wav", "avi"):
         struct.pack_into("<I", out, 4, len(out) - 8)
     return bytes(out), (len(data) - len(out)) * 8
 

@@ -182,7 +182,7 @@ def read_riff(r: _Reader) -> Iterator[Field]:
     i = 0
     while r.at + 8 <= min(len(r.data), size + 8):
         tag = r.data[r.at : r.at + 4]
-        name = {b"fmt ": "format", b"data": "audio_data", b"fact": "nb_sample"}.get(tag, f"chunk[{i}]")
+        name = {b"fmt ": "format", b"data": "audio_data", b"fact": "nb_sample"}.get(tag, "info" if tag == b"LIST" and r.data[r.at + 8 : r.at + 12] == b"INFO" else f"chunk[{i}]")
         i += name.startswith("chunk")
         yield r.take(f"/{name}/tag", 4, None, _latin)[0]
         f, n = r.take(f"/{name}/size", 4, "<I")
@@ -191,6 +191,25 @@ def read_riff(r: _Reader) -> Iterator[Field]:
             for part, w, form in (("codec", 2, "<H"), ("nb_channel", 2, "<H"), ("sample_per_sec", 4, "<I"), ("byte_per_sec", 4, "<I"), ("block_align", 2, "<H"), ("bit_per_sample", 2, "<H")):
                 yield r.take(f"/{name}/{part}", w, form)[0]
             n -= 16
+        elif tag == b"fact" and n >= 4:
+            yield r.take(f"/{name}/nb_sample", 4, "<I")[0]
+            n -= 4
+        elif tag == b"LIST" and n >= 4 and r.data[r.at : r.at + 4] == b"INFO":
+            end, k = r.at + n, 0
+            yield r.take(f"/{name}/subtag", 4, None, _latin)[0]
+            while r.at + 8 <= end:
+                q = f"/{name}/field[{k}]"
+                yield r.take(f"{q}/tag", 4, None, _latin)[0]
+                f, w = r.take(f"{q}/size", 4, "<I")
+                yield f
+                yield r.take(f"{q}/content", min(w, end - r.at), None, _latin)[0]
+                if w % 2 and r.at < end:
+                    yield r.take(f"{q}/padding", 1, None, lambda v: None)[0]
+                k += 1
+            n = end - r.at + n % 2
+            if n and r.at + n <= len(r.data):
+                yield r.take(f"/{name}/padding", n, None, lambda v: None)[0]
+            n = 0
         if n:
             yield r.take(f"/{name}/content", n + n % 2 if r.at + n + n % 2 <= len(r.data) else n, None, lambda v: None)[0]
 

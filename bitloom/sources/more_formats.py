@@ -109,7 +109,15 @@ def read_ogg(r: _Reader) -> Iterator[Field]:
         yield f
         f, lacing = r.take(f"{p}/lacing", n, None, _hex)
         yield f
-        if total := sum(lacing):
+        total, start = sum(lacing), r.at
+        if r.data[start : start + 7] == b"\x03vorbis" and start + total <= len(r.data):
+            yield r.take(f"{p}/vorbis_comment/header", 7, None, _nothing)[0]
+            yield from _comments(r, f"{p}/vorbis_comment", start + total)
+        elif r.data[start : start + 7] == b"\x01vorbis" and total >= 30:
+            yield r.take(f"{p}/vorbis_hdr/header", 7, None, _nothing)[0]
+            yield from _fields(r, f"{p}/vorbis_hdr", "vorbis_version:I audio_channels:B audio_sample_rate:I bitrate_maximum:I bitrate_nominal:I bitrate_minimum:I")
+            yield r.take(f"{p}/vorbis_hdr/rest", start + total - r.at, None, _nothing)[0]
+        elif total:
             yield r.take(f"{p}/segments", total, None, _nothing)[0]
         i += 1
 
@@ -135,6 +143,8 @@ def read_flac(r: _Reader) -> Iterator[Field]:
             yield (f"{p}/bits_per_sample", at + 23, 5, str((packed >> 36 & 31) + 1))
             yield (f"{p}/total_samples", at + 28, 36, str(packed & (1 << 36) - 1))
             yield r.take(f"{p}/md5", 16, None, _hex)[0]
+        elif head & 0x7F == 4:
+            yield from _comments(r, p, r.at + n)
         elif n:
             yield r.take(f"{p}/content", n, None, _nothing)[0]
         i += 1
@@ -142,6 +152,27 @@ def read_flac(r: _Reader) -> Iterator[Field]:
     r.at = len(r.data)
 
 
+def _comments(r: _Reader, prefix: str, end: int) -> Iterator[Field]:
+    """Vorbis comments: the vendor, then pairs of tag and value; what is left up to ``end`` is padding."""
+    utf8 = lambda v: v.decode("utf-8", "replace")
+    f, n = r.take(f"{prefix}/vendor_length", 4, "<I")
+    yield f
+    yield r.take(f"{prefix}/vendor", n, None, utf8)[0]
+    f, count = r.take(f"{prefix}/count", 4, "<I")
+    yield f
+    for i in range(count):
+        f, n = r.take(f"{prefix}/comment[{i}]/size", 4, "<I")
+        yield f
+        name = r.data[r.at : r.at + n].split(b"=")[0]
+        if len(name) == n or r.at + n > end:
+            raise EOFError
+        yield r.take(f"{prefix}/comment[{i}]/tag", len(name), None, lambda v: utf8(v).upper())[0]
+        yield r.take(f"{prefix}/comment[{i}]/equals", 1, None, _nothing)[0]
+        yield r.take(f"{prefix}/comment[{i}]/content", n - len(name) - 1, None, utf8)[0]
+    if end > r.at:
+        yield r.take(f"{prefix}/padding", end - r.at, None, _nothing)[0]
+
+
 def _syncsafe(v: bytes) -> int:
     return v[0] << 21 | v[1] << 14 | v[2] << 7 | v[3]
 
@@ -165,20 +196,46 @@ def read_id3(r: _Reader) -> Iterator[Field]:
         if major > 2:
             yield r.take(f"{q}/flags", 2, None, _hex)[0]
         if n:
-            yield r.take(f"{q}/content", n, None, lambda v: v[1:].decode(codecs.get(v[0], "latin-1"), "replace").strip("\0") if tag[:1] == b"T" else None)[0]
+            # comments have a language and a short description before the text
+            show = lambda v: v[1:].decode(codecs.get(v[0], "latin-1"), "replace").strip("\0") if tag[:1] == b"T" else v[4:].decode(codecs.get(v[0], "latin-1"), "replace").lstrip("\ufeff").split("\0")[-1].lstrip("\ufeff") if tag in (b"COMM", b"COM") else None
+            yield r.take(f"{q}/content", n, None, show)[0]
         i += 1
     if end > r.at:
         yield r.take(f"{p}/padding", end - r.at, None, _nothing)[0]
     tail = 128 if r.data[-128:-125] == b"TAG" and len(r.data) - r.at >= 128 else 0
     if len(r.data) - tail > r.at:
+        yield from _mpeg_frame(r, len(r.data) - tail)
         yield ("/frames", r.at * 8, (len(r.data) - tail - r.at) * 8, None)
     r.at = len(r.data) - tail
     if tail:
         yield from _fields(r, "/id3v1", "signature:3s song:30s author:30s album:30s year:4s comment:30s genre:B")
 
 
+# Kbit a second of layer III, by index, for MPEG 1 and for 2 and 2.5; samples a second of MPEG 1.
+LAYER3_1 = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+LAYER3_2 = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
+SAMPLE_RATES = (44100, 48000, 32000)
+
+
+def _mpeg_frame(r: _Reader, end: int) -> Iterator[Field]:
+    """The header of the first frame of layer III, if the sound starts with one, as fields of ``/frames/frame[0]``; its bytes stay unread."""
+    if end - r.at < 4:
+        return
+    word = int.from_bytes(r.data[r.at : r.at + 4], "big")
+    version, layer, rate, sample, mode = word >> 19 & 3, word >> 17 & 3, word >> 12 & 15, word >> 10 & 3, word >> 6 & 3
+    if word >> 21 != 0x7FF or version == 1 or layer != 1 or rate in (0, 15) or sample == 3:
+        return
+    at = r.at * 8
+    p = "/frames/frame[0]"
+    kbit = (LAYER3_1 if version == 3 else LAYER3_2)[rate]
+    yield (f"{p}/version", at + 11, 2, {3: "1", 2: "2", 0: "2.5"}[version])
+    yield (f"{p}/bit_rate", at + 16, 4, str(kbit * 1000))
+    yield (f"{p}/sampling_rate", at + 20, 2, str(SAMPLE_RATES[sample] >> {3: 0, 2: 1, 0: 2}[version]))
+    yield (f"{p}/nb_channel", at + 24, 2, "1" if mode == 3 else "2")
+
+
 #: Atoms of MP4 that hold atoms.
-NESTING = frozenset("moov trak mdia minf stbl udta edts dinf moof traf mvex".split())
+NESTING = frozenset("moov trak mdia minf stbl udta edts dinf moof traf mvex ilst".split())
 
 
 def read_mp4(r: _Reader) -> Iterator[Field]:
@@ -200,6 +257,14 @@ def read_mp4(r: _Reader) -> Iterator[Field]:
                 yield from atoms(stop, p, depth + 1)
             elif tag == b"ftyp" and stop - r.at >= 8:
                 yield from _fields(r, p, "brand:4s version:I", ">")
+            elif tag == b"meta" and stop - r.at >= 4:
+                yield r.take(f"{p}/version", 4, ">I")[0]
+                yield from atoms(stop, p, depth + 1)
+            elif tag == b"mvhd" and stop - r.at >= 20 and r.data[r.at] == 0:
+                yield from _fields(r, p, "version:I creation_date:I lastmod_date:I time_scale:I duration:I", ">")
+            elif prefix.endswith("/ilst") or r.data[r.at + 4 : r.at + 8] == b"data" and stop - r.at >= 16:
+                yield from _fields(r, p, "item_size:I item_tag:4s item_type:I locale:I", ">")
+                yield r.take(f"{p}/content", stop - r.at, None, lambda v: v.decode("utf-8", "replace"))[0]
             if stop > r.at:
                 yield r.take(f"{p}/data", stop - r.at, None, _nothing)[0]
             i += 1

@@ -57,3 +57,55 @@ def test_random_and_cut_contents_end(name):
     for data in [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 7, 64, 500)] + [CASES[name][0][:n] for n in range(0, len(CASES[name][0]), 3) if name in CASES] if name in CASES else []:
         for _, address, size, _ in S.parse_one(data, name):
             assert address >= 0
+
+
+def comments(*pairs: str) -> bytes:
+    body = struct.pack("<I", 4) + b"made" + struct.pack("<I", len(pairs))
+    return body + b"".join(struct.pack("<I", len(p.encode())) + p.encode() for p in pairs)
+
+
+def test_tagged_metadata(spark):
+    """Tags of eight containers name the same keys; broken and unknown ones give none."""
+    from bitloom.operators.extract import metadata_rows
+
+    def frame(tag, text):
+        return tag + (len(text) + 1).to_bytes(4, "big") + b"\0\0\3" + text
+
+    def chunk(tag, body):
+        return tag + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+
+    frames = frame(b"TIT2", "Tïtle".encode()) + frame(b"TPE1", b"Someone") + frame(b"TXXX", b"x") + b"COMM" + (9).to_bytes(4, "big") + b"\0\0\3eng\0note"
+    mp3 = b"ID3\x03\0\0" + bytes([0, 0, 0, len(frames)]) + frames + b"\xff\xfb\x90\x00" + bytes(60)
+    vorbis = comments("title=Tïtle", "ARTIST=Someone", "UNKNOWN=x")
+    flac = b"fLaC" + bytes([0x84]) + len(vorbis).to_bytes(3, "big") + vorbis + b"frames"
+    body = b"\x03vorbis" + vorbis + b"\1"
+    ogg = b"OggS" + struct.pack("<BBqIIIB", 0, 2, 0, 7, 0, 0, 1) + bytes([len(body)]) + body
+    info = b"INFO" + chunk(b"INAM", b"Title\0") + chunk(b"ISFT", b"Soft")
+    wav = b"RIFF" + struct.pack("<I", 4 + 24 + 8 + len(info)) + b"WAVE" + chunk(b"fmt ", struct.pack("<HHIIHH", 1, 1, 8000, 8000, 1, 8)) + chunk(b"LIST", info)
+    item = atom("©nam".encode("latin-1"), atom(b"data", struct.pack(">II", 1, 0) + "Tïtle".encode()))
+    mp4 = atom(b"ftyp", b"isom" + bytes(4)) + atom(b"moov", atom(b"udta", atom(b"meta", bytes(4) + atom(b"ilst", item))))
+    tag = ebml(b"\x67\xc8", ebml(b"\x45\xa3", b"TITLE") + ebml(b"\x44\x87", "Tïtle".encode()))
+    mkv = ebml(b"\x1a\x45\xdf\xa3", ebml(b"\x42\x82", b"matroska")) + ebml(b"\x18\x53\x80\x67", ebml(b"\x12\x54\xc3\x67", ebml(b"\x73\x73", tag)))
+    contents = [mp3, flac, ogg, wav, mp4, mkv, TIFF, mp3[:30], flac[:30], b""]
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(contents)] + [(99, None)], "id long, content binary")
+    got = {}
+    for r in metadata_rows(S.parse(df)).collect():
+        got.setdefault(r["id"], {})[r["meta_key"]] = r["value"]
+    assert got[0] == {"title": "Tïtle", "author": "Someone", "comment": "note", "bit_rate": "128000", "sample_rate": "44100", "nb_channel": "2"}
+    assert got[1] == got[2] == {"title": "Tïtle", "artist": "Someone", "producer": "made"}
+    assert got[3]["title"] == "Title" and got[3]["producer"] == "Soft" and got[3]["sample_rate"] == "8000"
+    assert got[4] == {"title": "Tïtle"} and got[5] == {"title": "Tïtle"} and got[6]["width"] == "640" and got[6]["producer"] == "soft"
+    assert 99 not in got and 9 not in got
+
+
+def test_riff_keeps_what_it_does_not_know():
+    from bitloom.operators.editing import strip_one
+
+    def chunk(tag, body):
+        return tag + struct.pack("<I", len(body)) + body
+
+    parts = [chunk(b"fmt ", struct.pack("<HHIIHH", 1, 1, 8000, 8000, 1, 8)), chunk(b"cue ", b"keep"), chunk(b"JUNK", b"away"), chunk(b"LIST", b"INFO" + chunk(b"INAM", b"Name")), chunk(b"data", b"12345678")]
+    wav = b"RIFF" + struct.pack("<I", 4 + sum(map(len, parts))) + b"WAVE" + b"".join(parts)
+    out, removed = strip_one(wav, "wav")
+    assert b"cue " in out and b"12345678" in out and b"away" not in out and b"Name" not in out and removed == (12 + 24) * 8
+    assert struct.unpack("<I", out[4:8])[0] == len(out) - 8 and strip_one(out, "wav") == (out, 0)
