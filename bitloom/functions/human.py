@@ -78,7 +78,7 @@ def unix_attributes(mode: Column) -> Column:
     bit = lambda k: F.shiftright(mode, k).bitwiseAND(1) == 1
     kind = F.shiftright(mode, 12).bitwiseAND(15)
     # Letters of the file types
-    letter = F.when(kind == 1, "p").when(kind == 2, "c").when(kind == 4, "d").when(kind == 6, "b").when(kind == 10, "l").when(kind == 12, "s").otherwise("-")
+    letter = F.when(kind == 1, "p").when(kind == 2, "c").when(kind == 4, "d").when(kind == 6, "b").when(kind == 10, "l").when(kind == 12, "s").when(kind.isin(0, 8), "-").otherwise("?")
     text = [letter]
     for who, (special, mark) in enumerate(((11, "s"), (10, "s"), (9, "t"))):
         base = 6 - 3 * who

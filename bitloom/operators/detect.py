@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.functions.text import extension
+from bitloom.operators.validate import valid
 
 # Id, category, extensions, MIME type, magic (hex), offset of the magic in bytes.
 FORMATS = [
@@ -48,3 +50,15 @@ def magic_format(data: Column) -> Column:
         hit = F.substring(head, 2 * offset + 1, len(magic)) == magic
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
+
+
+def validated(contents: DataFrame) -> DataFrame:
+    """``contents`` (id, content) with guess: the first format, by the order of :func:`magic_format`, whose magic number and header hold;
+    null for none and for null contents."""
+    ranked = sorted((f for f in FORMATS if f[4]), key=lambda f: (-len(f[4]), f[0]))
+    magics = [(name, bytes.fromhex(magic), offset) for name, _, _, _, magic, offset in ranked]
+
+    def run(contents: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else next((n for n, m, o in magics if c[o : o + len(m)] == m and valid(c, n)), None) for c in contents], dtype=object)
+
+    return contents.withColumn("guess", F.pandas_udf(run, "string")("content"))
