@@ -47,8 +47,13 @@ def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_id, source, target_share, max_repeats, n_documents, used_tokens, actual_share, most_copies) for every target."""
+    """(mix_id, source, target_share, max_repeats, n_documents, used_tokens, actual_share, most_copies, reason) for every target.
+
+    ``reason`` tells why a target has no tokens ('no documents', 'no share'), whose share the other sources of its mix then have; null
+    where it has some.
+    """
     sums = mixed.groupBy("mix_id", "source").agg(F.count("*").alias("n_documents"), F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.max("copies").alias("most_copies"))
     out = targets.join(sums, ["mix_id", "source"], "left").fillna(0, ["n_documents", "used_tokens", "most_copies"])
     total = F.sum("used_tokens").over(W.partitionBy("mix_id"))
-    return out.withColumn("actual_share", F.when(total > 0, F.round(F.col("used_tokens") / total, 6)).otherwise(0.0))
+    reason = F.when(F.coalesce(F.col("target_share"), F.lit(0.0)) <= 0, "no share").when(F.col("used_tokens") == 0, "no documents")
+    return out.withColumn("reason", reason).withColumn("actual_share", F.when(total > 0, F.round(F.col("used_tokens") / total, 6)).otherwise(0.0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Vocabulary used unless another path is given.
 DEFAULT = "byte_bpe_multi_50k.tiktoken"
-#: Longer texts are encoded in pieces cut at line ends or, lacking these, anywhere; counts then are of the pieces.
+#: Longer texts are encoded in pieces, cut only where the tokenizer's own pattern cuts, so that counts are those of the whole text.
 PIECE = 1 << 20
 
 
@@ -25,14 +25,19 @@ def _encoding(path: str | None):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _cuts(text: str, k: int) -> bool:
+    """Whether a token surely starts at ``k``: behind a line end and before no blank, or at a lone blank between words."""
+    return text[k - 1] == "\n" and not text[k].isspace() or text[k] == " " and not text[k - 1].isspace() and not text[k + 1 : k + 2].isspace()
+
+
 def count_tokens(text: str | None, path: str | None = None) -> int:
     """Tokens of ``text``; 0 for null and empty."""
     encoding, n, at = _encoding(path), 0, 0
     text = text or ""
     while at < len(text):
         stop = at + PIECE
-        if stop < len(text):
-            stop = text.rfind("\n", at + 1, stop) + 1 or stop
+        if stop < len(text):  # the last such place in the piece, else the first behind it
+            stop = next((k for k in range(stop, at, -1) if _cuts(text, k)), None) or next((k for k in range(stop, len(text)) if _cuts(text, k)), len(text))
         n += len(encoding.encode_ordinary(text[at:stop]))
         at = stop
     return n

@@ -100,3 +100,23 @@ def test_selection_is_that_of_a_plain_sort(spark):
 def test_heavy_documents_come_first(spark, weight):
     df = spark.range(20_000).select(mixing.sampling_key(F.col("id").cast("string"), F.lit(weight)).alias("k"))
     assert abs(df.agg(F.avg("k")).first()[0] - 1 / weight) < 0.03 / weight
+
+
+def test_pieces_count_as_the_whole_text(monkeypatch):
+    """Texts with and without line ends, runs of blanks and no blanks at all: pieces of any size give the same count."""
+    from bitloom.llm import tokens
+
+    texts = ["One line.\nAnother  line with   blanks\n\n  and more, 12345 67.\n" * 5, "no line end but words, numbers 123 and signs -- " * 6, "x" * 400, "日本語 テキスト\n" * 20, " \n \t" * 50]
+    whole = [tokens.count_tokens(t) for t in texts]
+    for size in (7, 16, 50, 99):
+        monkeypatch.setattr(tokens, "PIECE", size)
+        assert [tokens.count_tokens(t) for t in texts] == whole
+
+
+def test_targets_without_documents_have_a_reason(spark):
+    from bitloom.llm import mixing
+
+    docs = spark.createDataFrame([(i, "a", 10, 1.0) for i in range(20)], "doc_id long, source string, tokens long, weight double")
+    targets = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.5, 1), (1, "c", 0.0, 1)], "mix_id int, source string, target_share double, max_repeats int")
+    got = {r["source"]: r["reason"] for r in mixing.shares(mixing.mix(docs, targets), targets).collect()}
+    assert got == {"a": None, "b": "no documents", "c": "no share"}
