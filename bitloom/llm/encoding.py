@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from bitloom.sources import checkpoint
 
-#: Most trigrams kept in the model, by frequency, and most clean values used to validate the margin.
-MODEL_TRIGRAMS, VALIDATION_VALUES = 400_000, 600
+#: Counts held in memory by a task before they are passed on.
+COUNTED = 400_000
+#: Margins (bits) that are tried on all values, and the one where none can be tried.
+MARGINS, UNTRIED_MARGIN = np.arange(5.0, 30.0, 0.5), 15.0
 #: First round: values that some chain improves by this many bits aren't used for training.
 SUSPECT_BITS = 5.0
 #: What only a word in up to this many values has is no evidence that it is clean; what is more frequent is.
@@ -70,6 +73,7 @@ class Chains:
     def __init__(self) -> None:
         self.readers = {name: _reader(name) for name in READ_AS}
         self.names = [f"{w}>{r}" for w in READ_AS for r in WRITTEN_IN if w != r] + ["utf_16_le>utf_16_be"]
+        self.latin: dict[str, bool] = {}
 
     def restore(self, word: str) -> dict[str, str]:
         """Chain name -> the restored word, where the chain applies and changes something."""
@@ -111,6 +115,15 @@ class Chains:
                 pass
         return out
 
+    def misread(self, word: str) -> bool:
+        """Whether ``word`` holds a well-formed UTF-8 sequence under a Latin reading."""
+        found = self.latin.get(word)
+        if found is None:
+            if len(self.latin) > 200_000:
+                self.latin.clear()
+            found = self.latin[word] = any(name in LATIN_CHAINS for name in self.restore(word))
+        return found
+
     def certain(self, word: str) -> dict[str, str]:
         """Those of :meth:`restore` under a Latin reading that rest on a UTF-8 sequence not there by chance."""
         out: dict[str, str] = {}
@@ -268,7 +281,7 @@ def structural(value: str, chains: Chains) -> bool:
     far = [ord(c) for c in value if ord(c) > 0xFF]
     if "\u2000" in value or len(far) >= 3 and len({x & 0xFF for x in far}) <= 2 and len({x >> 8 for x in far}) >= 3:
         return True
-    return bool(BROKEN.search(value)) or bool(_INSIDE.search(value)) or any(name in LATIN_CHAINS for w in value.split(" ") if not w.isascii() for name in chains.restore(w))
+    return bool(BROKEN.search(value)) or bool(_INSIDE.search(value)) or any(chains.misread(w) for w in value.split(" ") if not w.isascii())
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,7 +306,7 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     grams.update(grams_of(word))
                 else:
                     words[word] += 1
-        if len(grams) + len(words) > MODEL_TRIGRAMS:
+        if len(grams) + len(words) > COUNTED:
             yield rows()
     yield rows()
 
@@ -309,7 +322,7 @@ def count_trigrams(words: DataFrame, counts=None) -> dict[str, int]:
     """Trigram counts of the clean ones of :func:`count_words`, added up before the shuffle.
 
     ``counts``: the last model's, broadcast; words that it would change by ``SUSPECT_BITS`` aren't clean. Without one, clean means free of
-    structural signs. The most frequent ``MODEL_TRIGRAMS`` come to the driver, a fixed bound.
+    structural signs. All trigrams come to the driver: their number grows with the letters that occur, hardly with the values.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,32 +342,54 @@ def count_trigrams(words: DataFrame, counts=None) -> dict[str, int]:
 
     own = words.where("not gram").select("text", "n", "restored", "clean").mapInPandas(run, "gram string, n long")
     rows = own.unionByName(words.where("gram").select(F.col("text").alias("gram"), "n")).groupBy("gram").agg(F.sum("n").alias("n"))
-    got = rows.orderBy(F.desc("n"), "gram").limit(MODEL_TRIGRAMS).toPandas()
+    got = rows.toPandas()
     return dict(zip(got["gram"], got["n"].astype(int)))
 
 
-def validated_margin(judge: Judge, clean: list[str], least: float = 5.0, most: float = 30.0) -> float:
-    """The margin with the fewest errors on ``clean`` values and on the same values garbled on purpose (the middle one, if several).
+def garblings(value: str) -> Iterator[str]:
+    """``value`` garbled on purpose: written in each of four encodings and read with one that its checksum picks."""
+    wrong = READ_AS[zlib.crc32(value.encode()) % 7]
+    for right in ("utf_8", "cp1252", "cp1251", "cp1250"):
+        try:
+            garbled = value.encode(right).decode(wrong)
+        except UnicodeError:
+            continue
+        if garbled != value:
+            yield garbled
+
+
+def margins_reached(values: DataFrame, counts) -> np.ndarray:
+    """How many of all ``values`` (one column, distinct) without structural signs (row 0), and of their :func:`garblings` (row 1), reach 0, 1, ...
+    of ``MARGINS`` under the model of ``counts`` (broadcast). Added up by task, then over tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge, out = Judge(Trigrams(counts.value)), np.zeros((2, len(MARGINS) + 1), dtype=np.int64)
+        for batch in batches:
+            for value in batch.iloc[:, 0]:
+                if not value.isascii() and not structural(value, judge.chains):
+                    for garbled, texts in enumerate(([value], garblings(value))):
+                        for text in texts:
+                            out[garbled, np.searchsorted(MARGINS, judge.best(text)[0], side="right")] += 1
+        garbled, reached = np.nonzero(out)
+        yield pd.DataFrame({"garbled": garbled, "reached": reached, "n": out[garbled, reached]})
+
+    reached = np.zeros((2, len(MARGINS) + 1), dtype=np.int64)
+    for row in values.mapInPandas(run, "garbled int, reached int, n long").groupBy("garbled", "reached").agg(F.sum("n").alias("n")).collect():
+        reached[row["garbled"], row["reached"]] = row["n"]
+    return reached
+
+
+def validated_margin(reached: np.ndarray) -> float:
+    """The margin with the fewest errors on clean values and on the same values garbled on purpose (the middle one, if several), by :func:`margins_reached`.
 
     The clean values may hold some garbled ones, which add the same errors to every margin below their gains.
     """
-    kept = [judge.best(v)[0] for v in clean]
-    garbled = []
-    for i, v in enumerate(clean):
-        wrong = READ_AS[i % 7]
-        for right in ("utf_8", "cp1252", "cp1251", "cp1250"):
-            try:
-                g = v.encode(right).decode(wrong)
-            except UnicodeError:
-                continue
-            if g != v:
-                garbled.append(judge.best(g)[0])
-    if not kept or not garbled:
-        return least * 3
-    kept_a, garbled_a = np.array(kept), np.array(garbled)
-    grid = np.arange(least, most, 0.5)
-    errors = [(kept_a >= m).mean() + (garbled_a < m).mean() for m in grid]
-    return float(np.median(grid[np.array(errors) <= min(errors) + 1e-9]))
+    kept, garbled = reached
+    if not kept.sum() or not garbled.sum():
+        return UNTRIED_MARGIN
+    below = np.cumsum(reached, axis=1)[:, :-1]  # those that don't reach each margin
+    errors = (kept.sum() - below[0]) / kept.sum() + below[1] / garbled.sum()
+    return float(np.median(MARGINS[errors <= errors.min() + 1e-9]))
 
 
 def find_garbled(items: DataFrame, value: str = "value") -> DataFrame:
@@ -362,24 +397,21 @@ def find_garbled(items: DataFrame, value: str = "value") -> DataFrame:
 
     Null and empty values are not garbled and restore to themselves; values broken beyond restoring are garbled with the
     text as far as it could be restored. Rows are kept as they are. The model is trained on all values in rounds:
-    without words broken in themselves, then also without those that the last model would change.
+    without words broken in themselves, then also without those that the last model would change. The margin is validated on all values too.
     """
     spark = items.sparkSession
-    # read twice; an explicit number of partitions keeps the small but costly rows spread over all cores
+    # read for the counts and for the margin; an explicit number of partitions keeps the small but costly rows spread over all cores
     values = items.select(F.col(value).alias("value")).where("value is not null and value <> ''").distinct()
     values = checkpoint(values.repartition(2 * spark.sparkContext.defaultParallelism))
     words = count_words(values)
     counts = count_trigrams(words)
     for _ in range(ROUNDS):
         counts = count_trigrams(words, spark.sparkContext.broadcast(counts))
-    judge = Judge(Trigrams(counts))
-    sample = values.where(F.col("value").rlike(r"[^\x00-\x7f]")).orderBy(F.xxhash64("value")).limit(VALIDATION_VALUES).toPandas()["value"]
-    margin = validated_margin(judge, [v for v in sample if not structural(v, judge.chains)])
-    shared = spark.sparkContext.broadcast((counts, margin))
+    model = spark.sparkContext.broadcast(counts)
+    margin = validated_margin(margins_reached(values, model))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counts, margin = shared.value
-        own, seen = Judge(Trigrams(counts)), {}
+        own, seen = Judge(Trigrams(model.value)), {}
         for texts in batches:
             out = []
             for v in texts:

@@ -75,3 +75,24 @@ def test_rounds_and_words(spark):
     assert sum(second.values()) <= sum(first.values())
     got = E.find_garbled(df).where("garbled").collect()
     assert {r["value"].split(" ")[0] for r in got} >= set(garbled[:2]) and all(r["margin"] > 0 for r in got)
+
+
+def test_the_margin_is_that_of_all_values(spark):
+    """Every distinct value counts, however many there are, and so does each of its garblings."""
+    clean = sorted({f"{a} {b} {i}" for a in TITLES for b in TITLES for i in range(4)} - {f"Hidden Harbor Hidden Harbor {i}" for i in range(4)})
+    assert len(clean) > 600
+    df = spark.createDataFrame([(v,) for v in [*clean, "plain", "broken �é"]], "value string")
+    counts = E.count_trigrams(E.count_words(df))
+    reached, judge = E.margins_reached(df, spark.sparkContext.broadcast(counts)), E.Judge(E.Trigrams(counts))
+    gains = [[judge.best(v)[0] for v in clean], [judge.best(g)[0] for v in clean for g in E.garblings(v)]]
+    assert reached.sum(axis=1).tolist() == [len(clean), len(gains[1])]
+    assert [[sum(g >= m for g in row) for m in E.MARGINS] for row in gains] == [[int(row[i + 1 :].sum()) for i in range(len(E.MARGINS))] for row in reached]
+    errors = [sum(g >= m for g in gains[0]) / len(gains[0]) + sum(g < m for g in gains[1]) / len(gains[1]) for m in E.MARGINS]
+    best = [m for m, e in zip(E.MARGINS, errors) if e <= min(errors) + 1e-9]
+    assert E.validated_margin(reached) == (best[(len(best) - 1) // 2] + best[len(best) // 2]) / 2
+
+
+def test_no_trigram_is_left_out(spark):
+    n = 400_500
+    words = spark.range(n).selectExpr("lower(hex(id)) as text", "1L as n", "cast(null as string) as restored", "true as gram", "true as clean")
+    assert len(E.count_trigrams(words)) == n
