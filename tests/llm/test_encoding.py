@@ -96,3 +96,20 @@ def test_no_trigram_is_left_out(spark):
     n = 400_500
     words = spark.range(n).selectExpr("lower(hex(id)) as text", "1L as n", "cast(null as string) as restored", "true as gram", "true as clean")
     assert len(E.count_trigrams(words)) == n
+
+
+def test_p4_method_accepts_by_the_margin_of_all_values(spark, tmp_path):
+    from bitloom.llm import queries_encoding as Q
+
+    values = sorted({f"{a} {b} {i}" for a in TITLES for b in TITLES for i in range(3)}) + ["Frühling am Gebüsch", "Gebüsch im Frühling", "Frⁿhling im Gebⁿsch"]
+    rows = [(i, "MpegAudioMetadata", "title", v) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "item_id long, meta_class string, meta_key string, value string").write.parquet(f"{tmp_path}/metadata_items.parquet")
+    got = Q.p4_method(spark, str(tmp_path)).collect()
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    words = E.count_words(df)
+    counts = E.count_trigrams(words)
+    for _ in range(E.ROUNDS):
+        counts = E.count_trigrams(words, spark.sparkContext.broadcast(counts))
+    margin = E.validated_margin(E.margins_reached(df, spark.sparkContext.broadcast(counts)))
+    assert {r["margin"] for r in got} == {margin} and len(got) == len(values)
+    assert all(r["garbled"] == (r["gain"] >= margin) for r in got)
