@@ -1,6 +1,10 @@
 """Near-copies that go on where a value ends: min-hash bands over beginnings, verified by alignment.
 
-Two families of bands. In the first, a value of n characters belongs to level k, 2^k <= n < 2^(k+1); longer values take part in every
+:func:`all_continued` finds every pair: exact copies by the first family of bands, and copies with differences before the closing word by a join.
+There every value meets every word of a text that its closing word begins, if what stands before the two is of lengths that an alignment
+within ``SIMILARITY`` can have, and the edit distance of these parts decides. No pair is left out; pairs grow faster than the values.
+
+:func:`continued` is the search by both families of bands, which misses some pairs with differences. In the first family, a value of n characters belongs to level k, 2^k <= n < 2^(k+1); longer values take part in every
 level below their own with as much of their beginning as a value of that level can be aligned with, once per distinct beginning.
 The min-hash band of the first 2^k characters brings a value to all that continue it exactly, however long the whole is. In the
 second, for values that nothing continues exactly, every text is banded at the start of each word over all that stands before, and
@@ -33,6 +37,8 @@ SIMILARITY = 0.8
 #: Band rows that a task puts in order, sampled texts per task for the places to cut at, and characters of such a place.
 TASK_ROWS, SAMPLED, PLACE = 1_000_000, 50, 64
 
+#: Letters of a word that bring it to the closing words which begin it, the factor between classes of lengths, and distinct values per task of the join.
+LETTERS, LENGTHS, TASK_VALUES = 3, 1.5, 2_000
 #: Bits of the array that tells which words may follow a value asked for.
 BITS = 1 << 26
 
@@ -274,7 +280,7 @@ def before_words(values: DataFrame) -> DataFrame:
 def continued(values: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(kind, norm, how, edits, copy) of the distinct ``values`` (kind, norm; written to disk) that near-copies go on from, each once.
 
-    Exact copies are looked up for all values, those with differences for the values ``asked`` (kind, norm; None: all) among all.
+    The bands miss some copies with differences; :func:`all_continued` misses none. Exact copies are looked up for all values, those with differences for the values ``asked`` (kind, norm; None: all) among all.
     The strongest way to go on counts ('word' over 'space' over 'sign'), with the nearest such copy's beginning. Values that end in
     a full stop, and null or empty ones, give no row; equal values are one. Differences from the closing word on aren't tolerated.
     """
@@ -293,6 +299,82 @@ def continued(values: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     return best.select("kind", "norm", F.col("b.how").alias("how"), (-F.col("b.less")).alias("edits"), F.col("b.copy").alias("copy"))
 
 
+def _word_starts(reach: dict[str, int]):
+    """(kind, word, tail, head, after): every word of the texts that begins within its kind's ``reach``, as far as what tells how the text goes on
+    behind the word, what stands before it, and how a text that ends with it goes on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for kind, text in zip(batch["kind"], batch["norm"]):
+                at, most = 0, reach.get(kind, -1)
+                while at <= most and at < len(text):
+                    end = text.find(" ", at)
+                    end = len(text) if end < 0 else end
+                    if end > at:
+                        out.append((kind, text[at:end], text[at : end + 2], text[:at], goes_on(text[end - 1], text[end : end + 2])))
+                    at = end + 1
+            yield pd.DataFrame(out, columns=["kind", "word", "tail", "head", "after"])
+
+    return run
+
+
+def with_differences(values: DataFrame) -> DataFrame:
+    """(kind, norm, how, edits, copy): the best copy with differences before the closing word for each probe among ``values`` (kind, norm, probe; written to
+    disk). All pairs of a probe and a text's word that its closing word begins are compared, if their lengths allow the asked similarity."""
+    parallel = values.sparkSession.sparkContext.defaultParallelism
+    word = F.substring_index("norm", " ", -1)
+    probes = values.where("probe").select("kind", "norm", word.alias("closing")).where("closing <> ''")
+    probes = probes.withColumn("before", F.expr("substring(norm, 1, length(norm) - length(closing))")).withColumn("most", F.floor(F.lit(1 - SIMILARITY) * F.length("norm") + 1e-9).cast("int"))
+    reach = {r["kind"]: r["reach"] for r in probes.groupBy("kind").agg(F.max(F.length("before") + F.col("most")).alias("reach")).collect()}
+    texts = values.select("kind", "norm").mapInPandas(_word_starts(reach), "kind string, word string, tail string, head string, after string").distinct()
+    # the words that each closing word begins, among all that occur; behind a letter a word goes on with a letter
+    known = texts.select("kind", "word").distinct().select("kind", "word", F.explode(F.expr(f"transform(sequence(1, least({LETTERS}, length(word))), n -> substring(word, 1, n))")).alias("letters"))
+    begun = probes.select("kind", "closing").distinct().withColumn("letters", F.substring("closing", 1, LETTERS)).join(known, ["kind", "letters"]).where(F.col("word").startswith(F.col("closing")))
+    begun = begun.where((F.col("word") == F.col("closing")) | F.expr("substring(word, length(closing) + 1, 1)").rlike(r"\p{L}") & F.col("closing").rlike(r"\p{L}$")).select("kind", "closing", "word")
+
+    def length_class(n):
+        return F.floor(F.log(n + F.lit(1.0)) / F.lit(float(np.log(LENGTHS))) + 1e-9).cast("int")
+
+    classes = F.sequence(length_class(F.greatest(F.length("before") - F.col("most"), F.lit(0))), length_class(F.length("before") + F.col("most")))
+    # explicit partitions, since rows are few for their pairs; as tables grow, a key's texts are spread over more of them
+    tasks = max(4 * parallel, values.count() // TASK_VALUES)
+    salts = -(-tasks // (4 * parallel))
+    keys = ["kind", "word", "length_class", "salt"]
+    left = texts.select("*", length_class(F.length("head")).alias("length_class"), F.pmod(F.xxhash64("head"), F.lit(salts)).cast("int").alias("salt"))
+    right = probes.join(begun, ["kind", "closing"]).select("*", F.explode(classes).alias("length_class")).select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    pairs = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys).hint("merge"), keys)
+    how = F.when(F.col("word") == F.col("closing"), F.col("after")).otherwise("word")
+    near = F.expr("case when abs(length(head) - length(before)) <= most then levenshtein(before, head, most) else -1 end")
+    pairs = pairs.select("kind", "norm", how.alias("how"), near.alias("edits"), F.concat("head", "tail").alias("copy")).where("how is not null and edits >= 0")
+    return best_of(pairs)
+
+
+def best_of(pairs: DataFrame) -> DataFrame:
+    """Each text's strongest way to go on, with the nearest such copy."""
+    best = pairs.groupBy("kind", "norm").agg(F.max(F.struct("how", (-F.col("edits")).alias("less"), "copy")).alias("b"))
+    return best.select("kind", "norm", F.col("b.how").alias("how"), (-F.col("b.less")).alias("edits"), F.col("b.copy").alias("copy"))
+
+
+def all_continued(values: DataFrame) -> DataFrame:
+    """(kind, norm, how, edits, copy, exact) of the distinct ``values`` (kind, norm; written to disk) that near-copies go on from, each once.
+
+    All pairs that meet ``SIMILARITY`` count, the copies being all values. The strongest way to go on counts ('word' over 'space' over 'sign'), with
+    the nearest such copy's beginning; ``exact`` is how the copies go on that agree from the beginning. Values that end in a full stop, and null or
+    empty ones, give no row; equal values are one. Differences from the closing word on aren't tolerated.
+    """
+    # an explicit number of partitions keeps the small but costly rows spread over all cores
+    tasks = 2 * values.sparkSession.sparkContext.defaultParallelism
+    exact = checkpoint(open_ends(checkpoint(beginnings(values).repartition(tasks).mapInPandas(_by_levels, ROW))))
+    # nothing is stronger or nearer than an exact copy that goes on in the word
+    done = exact.where("how = 'word' and edits = 0").select("kind", "norm", F.lit(True).alias("_done"))
+    left = values.where("norm <> ''").join(done, ["kind", "norm"], "left")
+    probe = F.col("_done").isNull() & ~F.col("norm").rlike(r"[.!?]$")
+    left = checkpoint(left.select("kind", "norm", probe.alias("probe")).repartition(tasks))
+    best = best_of(exact.unionByName(with_differences(left)))
+    return best.join(exact.select("kind", "norm", F.col("how").alias("exact")), ["kind", "norm"], "left")
+
+
 @lru_cache(1024)
 def hash_of_kind(kind: str) -> int:
     """A number below 2^61 for a vocabulary's name, so that texts of two kinds share no bucket."""

@@ -1,6 +1,6 @@
 """Values that were cut off: near-copies whose alignment ends early, and closing words that don't close.
 
-Near-copies are found by min-hash banding, verified and aligned (:mod:`bitloom.llm.nearcopies`): a value is cut if a copy goes
+All near-copies are found and aligned (:mod:`bitloom.llm.nearcopies`): a value is cut if a copy goes
 on within its closing word, or within its sentence. Values without such a copy are scored by the terminality of their closing
 word: how often it closes elsewhere, and whether it is only the beginning of longer words.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bitloom.llm.nearcopies import continued
+from bitloom.llm.nearcopies import all_continued
 from bitloom.sources import checkpoint
 
 #: Base and modulus of the rolling hash of words' beginnings.
@@ -101,7 +101,7 @@ def longer_counts(counts: DataFrame) -> DataFrame:
 
 
 def unsettled(values: DataFrame, counts: DataFrame, longer: DataFrame) -> DataFrame:
-    """(kind, norm) of the values that a near-copy may show to be cut: their closing word is no word known from elsewhere, or the kind
+    """(kind, norm) of the values that a copy with differences may show to be cut: their closing word is no word known from elsewhere, or the kind
     is one of sentences, which may also end early behind a whole word. A whole word at the end can't be told from a cut
     one by a copy that differs."""
     last = values.select("kind", "norm", _bare(F.element_at(F.split("norm", " "), -1)).alias("word"))
@@ -149,6 +149,7 @@ def find_truncated(rows: DataFrame) -> DataFrame:
     """``rows`` (row_id, source_id, volume_id, kind, field, value) once per row_id with ``cut`` (boolean), ``why``, and the near-copy's
     ``copy`` (as far as it was aligned), ``edits`` and ``how`` it goes on.
 
+    Every value has its copy, but one with differences is a cut only where :func:`unsettled` says so.
     ``kind`` names the vocabulary (title, comment, game), ``field`` what the values of one source are copies of. Why: 'copy' (a near-copy
     in the same source goes on), 'word' or 'space' (one elsewhere goes on in the same word or sentence), 'closing' (the closing word doesn't
     close, or is a blank), 'fragment' (it is the beginning of longer words). Null, empty and blank values aren't cut.
@@ -161,7 +162,9 @@ def find_truncated(rows: DataFrame) -> DataFrame:
     pairs = checkpoint(word_pairs(values))
     counts = pairs.groupBy("kind", "word").agg(*[F.sum(x).alias(x) for x in ("inner", "last", "first")])
     longer = checkpoint(longer_counts(counts))
-    found = continued(values, unsettled(values, counts, longer)).join(closing_words(values, pairs, counts, longer), ["kind", "norm"], "full")
+    copies = all_continued(values).join(unsettled(values, counts, longer).withColumn("_open", F.lit(True)), ["kind", "norm"], "left")
+    copies = copies.withColumn("_how", F.when(F.col("_open"), F.col("how")).otherwise(F.col("exact"))).drop("_open", "exact")
+    found = copies.join(closing_words(values, pairs, counts, longer), ["kind", "norm"], "full")
     # of the values that a copy goes on from: whether one in the same source does. A source's values stand in order, apart by first
     # words; what goes on directly follows
     first = F.substring_index("norm", " ", 1)
@@ -173,7 +176,7 @@ def find_truncated(rows: DataFrame) -> DataFrame:
     blanks = rows.where("norm <> ''").groupBy("kind").agg(F.sum(F.size(F.split("norm", " ")) - 1).alias("inner"), F.count_if(open_end).alias("last"))
     blanks = blanks.where(F.col("last") < LEAST_TERMINALITY * (F.col("inner") + F.col("last"))).select("kind", F.lit("closing").alias("blank"))
     out = rows.join(found, ["kind", "norm"], "left").join(own, ["source_id", "field", "norm"], "left").join(blanks, "kind", "left")
-    how, ends = F.col("how"), F.col("ends")
+    how, ends = F.col("_how"), F.col("ends")
     # a space at the end that a copy has too was cut behind, not set
     behind_space = how.isNotNull() & open_end
     goes_on = F.when(how.isNotNull() & F.col("own"), "copy").when((how == "word") & ends.isNotNull() & (ends == "word"), None).when(how == "word", "word").when((how == "space") & (F.col("kind") == "comment") | behind_space, "space")

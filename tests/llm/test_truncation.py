@@ -110,3 +110,37 @@ def test_every_copy_of_a_source_counts(spark):
     copies = ["Unseen Words Enti", "Unseen Words Entirely", "Quite another and much longer title than those"]
     got = {r["value"]: r["why"] for r in T.find_truncated(rows(spark, [(40_000 + i, 77, 2, "title", "title", v) for i, v in enumerate(copies)])).where("source_id = 77").collect()}
     assert got == {copies[0]: "copy", copies[1]: None, copies[2]: None}
+
+
+def test_no_pair_within_the_similarity_is_left_out(spark, monkeypatch):
+    """Every value has the copy that comparing all pairs gives, wherever the differences before the closing word are, and however keys are spread."""
+    rnd = random.Random(7)
+    wholes = [f"{a} {c} {b} was {v} {p}" for a, c, b, v, p in itertools.product(["the", "an"], ["quiet", "broken"], ["harbor", "cathedral"], ["stored", "restored"], ["in the old granary", "beside the railway", "at the theatre (twice)"])]
+    texts = {*wholes, "an ox", "on oxen", "a longestword", "longestwords and more"}
+    for whole in wholes * 3:
+        cut = list(whole[: rnd.randrange(6, len(whole))].rstrip())
+        for _ in range(rnd.randrange(1, 6)):
+            i = rnd.randrange(len(cut))
+            cut[i : i + 1] = rnd.choice([[], [rnd.choice("aeiou ")], [cut[i], rnd.choice("aeiou")]])
+        texts.add(" ".join("".join(cut).split()))
+    expected = {}
+    for value in texts - {""}:
+        before = value.rfind(" ") + 1
+        for text in texts:
+            for at in [0] + [i + 1 for i, c in enumerate(text) if c == " "]:
+                end = at + len(value) - before
+                how = N.goes_on(value, text[end : end + 2]) if text[at:end] == value[before:] else None
+                most = int((1 - N.SIMILARITY) * len(value) + 1e-9)
+                if how and (d := N.edits(value[:before], text[:at], most)) <= most:
+                    expected[value] = max(expected.get(value, ("", -99)), (how, -d))
+    monkeypatch.setattr(N, "TASK_VALUES", 10)
+    got = {r["norm"]: (r["how"], -r["edits"]) for r in N.all_continued(distinct(spark, sorted(texts - {""}))).collect()}
+    assert len(expected) > 50 and expected["an ox"] == ("word", -1) and expected["a longestword"] == ("word", -2)
+    assert {v: got.get(v, ("", -99)) for v, best in expected.items() if got.get(v, ("", -99)) < best} == {}
+
+
+def test_known_closing_words_have_their_copies(spark):
+    """A whole word that is known from elsewhere isn't a cut, but the copy with differences is shown."""
+    extra = [(60_000, 1, 2, "title", "title", "Harbour of the Silver Meadow"), (60_001, 2, 2, "title", "title", "Harbor of the Silver Meadow Again")]
+    got = T.find_truncated(rows(spark, extra)).where("row_id = 60000").first()
+    assert (got["copy"], got["how"], got["edits"], got["cut"]) == ("harbor of the silver meadow a", "space", 1, False)
