@@ -2,7 +2,8 @@
 
 :func:`all_continued` finds every pair: exact copies by the first family of bands, and copies with differences before the closing word by a join.
 There every value meets every word of a text that its closing word begins, if what stands before the two is of lengths that an alignment
-within ``SIMILARITY`` can have, and the edit distance of these parts decides. No pair is left out; pairs grow faster than the values.
+within ``SIMILARITY`` can have. Marks of their pairs of letters rule out what surely has too many edits, for the others the edit distance of
+these parts decides. No pair is left out; pairs grow faster than the values.
 
 :func:`continued` is the search by both families of bands, which misses some pairs with differences. In the first family, a value of n characters belongs to level k, 2^k <= n < 2^(k+1); longer values take part in every
 level below their own with as much of their beginning as a value of that level can be aligned with, once per distinct beginning.
@@ -39,6 +40,9 @@ TASK_ROWS, SAMPLED, PLACE = 1_000_000, 50, 64
 
 #: Letters of a word that bring it to the closing words which begin it, the factor between classes of lengths, and distinct values per task of the join.
 LETTERS, LENGTHS, TASK_VALUES = 3, 1.5, 2_000
+#: Words of 64 bits that mark the pairs of letters of a text, and their columns.
+MARK_WORDS = 12
+HEAD_MARKS, BEFORE_MARKS = ([f"{side}_{i}" for i in range(MARK_WORDS)] for side in ("head_marks", "before_marks"))
 #: Bits of the array that tells which words may follow a value asked for.
 BITS = 1 << 26
 
@@ -299,37 +303,74 @@ def continued(values: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     return best.select("kind", "norm", F.col("b.how").alias("how"), (-F.col("b.less")).alias("edits"), F.col("b.copy").alias("copy"))
 
 
+def _marks_at(text: str, places: list[int]) -> list[tuple[int, ...]]:
+    """For each of ``places`` (ascending), the marks (``MARK_WORDS`` words of 64 bits) of what stands before it: a bit per pair of neighbouring letters
+    and which occurrence of it that is. An edit takes away two pairs at most, so texts within d edits lack 2 d of each other's marks at most, whatever bits fall together."""
+    seen: dict[str, int] = {}
+    out, marks, done = [], 0, 1
+    for at in places:
+        for i in range(done, at):
+            pair = text[i - 1 : i + 1]
+            n = seen[pair] = seen.get(pair, -1) + 1
+            marks |= 1 << (_mark_of(pair) + 97 * n) % (64 * MARK_WORDS)
+        done = max(done, at)
+        out.append(tuple((marks >> 64 * i & (1 << 64) - 1 ^ 1 << 63) - (1 << 63) for i in range(MARK_WORDS)))
+    return out
+
+
+@lru_cache(100_000)
+def _mark_of(pair: str) -> int:
+    return (ord(pair[0]) * 1_000_003 + ord(pair[1])) * 0x9E3779B1 >> 12
+
+
 def _word_starts(reach: dict[str, int]):
-    """(kind, word, tail, head, after): every word of the texts that begins within its kind's ``reach``, as far as what tells how the text goes on
-    behind the word, what stands before it, and how a text that ends with it goes on."""
+    """(kind, word, tail, head, after, marks): every word of the texts that begins within its kind's ``reach``, as far as what tells how the text goes on
+    behind the word, what stands before it and its marks, and how a text that ends with it goes on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for kind, text in zip(batch["kind"], batch["norm"]):
-                at, most = 0, reach.get(kind, -1)
+                at, most, found = 0, reach.get(kind, -1), []
                 while at <= most and at < len(text):
                     end = text.find(" ", at)
                     end = len(text) if end < 0 else end
                     if end > at:
-                        out.append((kind, text[at:end], text[at : end + 2], text[:at], goes_on(text[end - 1], text[end : end + 2])))
+                        found.append((at, end))
                     at = end + 1
-            yield pd.DataFrame(out, columns=["kind", "word", "tail", "head", "after"])
+                for (at, end), marks in zip(found, _marks_at(text, [at for at, _ in found])):
+                    out.append((kind, text[at:end], text[at : end + 2], text[:at], goes_on(text[end - 1], text[end : end + 2]), *marks))
+            yield pd.DataFrame(out, columns=["kind", "word", "tail", "head", "after", *HEAD_MARKS])
 
     return run
 
 
+def _closing_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(kind, closing, before, most, marks): the closing word of each text, what stands before it and its marks, and the most edits within the similarity."""
+    for batch in batches:
+        out = []
+        for kind, text in zip(batch["kind"], batch["norm"]):
+            at = text.rfind(" ") + 1
+            out.append((kind, text[at:], text[:at], int((1 - SIMILARITY) * len(text) + 1e-9), *_marks_at(text, [at])[0]))
+        yield pd.DataFrame(out, columns=["kind", "closing", "before", "most", *BEFORE_MARKS])
+
+
+def _with_numbers(rows: DataFrame, text: str, marks: list[str]) -> DataFrame:
+    """``rows`` with the length of ``text`` and the number of its marks; ``marks`` as columns without nulls, for shorter code."""
+    return rows.withColumns({x: F.coalesce(x, F.lit(0)) for x in marks} | {f"{text}_length": F.coalesce(F.length(text), F.lit(0)), f"{text}_n": sum((F.bit_count(F.coalesce(x, F.lit(0))) for x in marks), F.lit(0))})
+
+
 def with_differences(values: DataFrame) -> DataFrame:
     """(kind, norm, how, edits, copy): the best copy with differences before the closing word for each probe among ``values`` (kind, norm, probe; written to
-    disk). All pairs of a probe and a text's word that its closing word begins are compared, if their lengths allow the asked similarity."""
+    disk). All pairs of a probe and a text's word that its closing word begins are compared, if their lengths allow the asked similarity: by their
+    marks, and those that the marks don't rule out by edit distance."""
     parallel = values.sparkSession.sparkContext.defaultParallelism
-    word = F.substring_index("norm", " ", -1)
-    probes = values.where("probe").select("kind", "norm", word.alias("closing")).where("closing <> ''")
-    probes = probes.withColumn("before", F.expr("substring(norm, 1, length(norm) - length(closing))")).withColumn("most", F.floor(F.lit(1 - SIMILARITY) * F.length("norm") + 1e-9).cast("int"))
+    probes = values.where("probe and norm <> '' and norm not like '% '").select("kind", "norm")
+    probes = probes.mapInPandas(_closing_words, f"kind string, closing string, before string, most int, {', '.join(f'{x} long' for x in BEFORE_MARKS)}")
     reach = {r["kind"]: r["reach"] for r in probes.groupBy("kind").agg(F.max(F.length("before") + F.col("most")).alias("reach")).collect()}
-    texts = values.select("kind", "norm").mapInPandas(_word_starts(reach), "kind string, word string, tail string, head string, after string").distinct()
     # the words that each closing word begins, among all that occur; behind a letter a word goes on with a letter
-    known = texts.select("kind", "word").distinct().select("kind", "word", F.explode(F.expr(f"transform(sequence(1, least({LETTERS}, length(word))), n -> substring(word, 1, n))")).alias("letters"))
+    known = values.select("kind", F.explode(F.split("norm", " ")).alias("word")).where("word <> ''").distinct()
+    known = known.select("kind", "word", F.explode(F.expr(f"transform(sequence(1, least({LETTERS}, length(word))), n -> substring(word, 1, n))")).alias("letters"))
     begun = probes.select("kind", "closing").distinct().withColumn("letters", F.substring("closing", 1, LETTERS)).join(known, ["kind", "letters"]).where(F.col("word").startswith(F.col("closing")))
     begun = begun.where((F.col("word") == F.col("closing")) | F.expr("substring(word, length(closing) + 1, 1)").rlike(r"\p{L}") & F.col("closing").rlike(r"\p{L}$")).select("kind", "closing", "word")
 
@@ -341,12 +382,23 @@ def with_differences(values: DataFrame) -> DataFrame:
     tasks = max(4 * parallel, values.count() // TASK_VALUES)
     salts = -(-tasks // (4 * parallel))
     keys = ["kind", "word", "length_class", "salt"]
-    left = texts.select("*", length_class(F.length("head")).alias("length_class"), F.pmod(F.xxhash64("head"), F.lit(salts)).cast("int").alias("salt"))
+    texts = values.select("kind", "norm").mapInPandas(_word_starts(reach), f"kind string, word string, tail string, head string, after string, {', '.join(f'{x} long' for x in HEAD_MARKS)}")
+    left = texts.select("*", length_class(F.length("head")).alias("length_class"), F.pmod(F.xxhash64("head"), F.lit(salts)).cast("int").alias("salt")).repartition(tasks, *keys)
+    # of the texts that agree up to a word, the one that goes on best stands for all: within the word, and behind it
+    own = F.when(F.col("after").isNotNull(), F.struct("after", "tail"))
+    left = left.groupBy(*keys, "head").agg(F.max("tail").alias("tail"), F.max(own).alias("own"), *[F.first(x).alias(x) for x in HEAD_MARKS])
+    left = _with_numbers(left, "head", HEAD_MARKS)
     right = probes.join(begun, ["kind", "closing"]).select("*", F.explode(classes).alias("length_class")).select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    pairs = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys).hint("merge"), keys)
-    how = F.when(F.col("word") == F.col("closing"), F.col("after")).otherwise("word")
-    near = F.expr("case when abs(length(head) - length(before)) <= most then levenshtein(before, head, most) else -1 end")
-    pairs = pairs.select("kind", "norm", how.alias("how"), near.alias("edits"), F.concat("head", "tail").alias("copy")).where("how is not null and edits >= 0")
+    right = _with_numbers(right.repartition(tasks, *keys), "before", BEFORE_MARKS)
+    pairs = left.join(right.hint("merge"), keys)
+    whole = F.col("word") == F.col("closing")
+    # twice the larger of the numbers of marks that one has and the other lacks
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(HEAD_MARKS, BEFORE_MARKS)), F.abs(F.col("head_n") - F.col("before_n")))
+    possible = (F.abs(F.col("head_length") - F.col("before_length")) <= F.col("most")) & (~whole | F.col("own").isNotNull()) & (differ <= 4 * F.col("most"))
+    near = F.when(possible, F.expr("levenshtein(before, head, most)")).otherwise(-1)
+    how = F.when(whole, F.col("own.after")).otherwise("word")
+    copy = F.concat("head", F.when(whole, F.col("own.tail")).otherwise(F.col("tail")))
+    pairs = pairs.select("kind", F.concat("before", "closing").alias("norm"), how.alias("how"), near.alias("edits"), copy.alias("copy")).where("edits >= 0")
     return best_of(pairs)
 
 

@@ -144,3 +144,23 @@ def test_known_closing_words_have_their_copies(spark):
     extra = [(60_000, 1, 2, "title", "title", "Harbour of the Silver Meadow"), (60_001, 2, 2, "title", "title", "Harbor of the Silver Meadow Again")]
     got = T.find_truncated(rows(spark, extra)).where("row_id = 60000").first()
     assert (got["copy"], got["how"], got["edits"], got["cut"]) == ("harbor of the silver meadow a", "space", 1, False)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc ", max_size=40), st.lists(st.tuples(st.integers(0, 39), st.sampled_from(["", "a", "xb"])), max_size=5))
+def test_marks_rule_out_no_pair_within_the_edits(a, changes):
+    """Whatever the edits, neither text lacks more marks of the other than two for each; texts of other words lack more."""
+    b = a
+    for i, c in changes:
+        b = b[:i] + c + b[i + 1 :]
+    most = N.edits(a, b, 99)
+    one, other = (N._marks_at(x + "end", [len(x)])[0] for x in (a, b))
+    assert max(sum((x & ~y & (1 << 64) - 1).bit_count() for x, y in zip(p, q)) for p, q in ((one, other), (other, one))) <= 2 * most
+    apart = [N._marks_at(x, [len(x)])[0] for x in ("the second take was recorded inside", "please contact our new librarian at")]
+    assert sum((x & ~y & (1 << 64) - 1).bit_count() for x, y in zip(*apart)) > 2 * 7
+
+
+def test_marks_of_beginnings_are_those_of_the_text_alone():
+    text = "the second take was recorded inside the limestone chapel"
+    places = [0] + [i + 1 for i, c in enumerate(text) if c == " "]
+    assert N._marks_at(text, places) == [N._marks_at(text[:at], [at])[0] for at in places]
