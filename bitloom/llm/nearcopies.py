@@ -3,7 +3,7 @@
 :func:`all_continued` finds every pair: exact copies by the first family of bands, and copies with differences before the closing word by a join.
 There every value meets every word of a text that its closing word begins, if what stands before the two is of lengths that an alignment
 within ``SIMILARITY`` can have. Marks of their pairs of letters rule out what surely has too many edits, for the others the edit distance of
-these parts decides. No pair is left out; pairs grow faster than the values.
+these parts decides, both for many pairs at once. No pair is left out; pairs grow faster than the values.
 
 :func:`continued` is the search by both families of bands, which misses some pairs with differences. In the first family, a value of n characters belongs to level k, 2^k <= n < 2^(k+1); longer values take part in every
 level below their own with as much of their beginning as a value of that level can be aligned with, once per distinct beginning.
@@ -40,9 +40,12 @@ TASK_ROWS, SAMPLED, PLACE = 1_000_000, 50, 64
 
 #: Letters of a word that bring it to the closing words which begin it, the factor between classes of lengths, and distinct values per task of the join.
 LETTERS, LENGTHS, TASK_VALUES = 3, 1.5, 2_000
-#: Words of 64 bits that mark the pairs of letters of a text, and their columns.
-MARK_WORDS = 12
-HEAD_MARKS, BEFORE_MARKS = ([f"{side}_{i}" for i in range(MARK_WORDS)] for side in ("head_marks", "before_marks"))
+#: Classes of pairs of letters, how many pairs of a class are told apart, words of 64 bits that mark them, and classes of single letters.
+CLASSES, TIMES, LETTER_CLASSES = 256, 3, 32
+MARK_WORDS = CLASSES * TIMES // 64
+#: Pairs whose marks and whose distances are taken at once, fewer than what are compared one by one, words of a pattern beyond which they are too, and
+#: entries of a table of patterns' letters.
+MARK_PAIRS, COLUMN_PAIRS, FEW, LONG_WORDS, TABLE = 200_000, 16_384, 16, 32, 1 << 21
 #: Bits of the array that tells which words may follow a value asked for.
 BITS = 1 << 26
 
@@ -303,61 +306,225 @@ def continued(values: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     return best.select("kind", "norm", F.col("b.how").alias("how"), (-F.col("b.less")).alias("edits"), F.col("b.copy").alias("copy"))
 
 
-def _marks_at(text: str, places: list[int]) -> list[tuple[int, ...]]:
-    """For each of ``places`` (ascending), the marks (``MARK_WORDS`` words of 64 bits) of what stands before it: a bit per pair of neighbouring letters
-    and which occurrence of it that is. An edit takes away two pairs at most, so texts within d edits lack 2 d of each other's marks at most, whatever bits fall together."""
-    seen: dict[str, int] = {}
-    out, marks, done = [], 0, 1
-    for at in places:
-        for i in range(done, at):
-            pair = text[i - 1 : i + 1]
-            n = seen[pair] = seen.get(pair, -1) + 1
-            marks |= 1 << (_mark_of(pair) + 97 * n) % (64 * MARK_WORDS)
-        done = max(done, at)
-        out.append(tuple((marks >> 64 * i & (1 << 64) - 1 ^ 1 << 63) - (1 << 63) for i in range(MARK_WORDS)))
+def _slices(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First and last of the texts of portions that the processor's cache holds, each letter's text among them, and its code point."""
+    start = 0
+    while start < len(texts):
+        stop, n = start, 0
+        while stop < len(texts) and stop < start + 1000 and n < 500_000:
+            n += len(texts[stop])
+            stop += 1
+        some = texts[start:stop]
+        yield start, stop, np.repeat(np.arange(len(some)), [len(x) for x in some]), np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32)
+        start = stop
+
+
+def marks_of(texts: list[str]) -> np.ndarray:
+    """The marks of each of ``texts``, a column of ``MARK_WORDS`` words of 64 bits: a bit for every class of pairs of neighbouring letters and for 1, 2 ...
+    ``TIMES`` pairs of it. An edit takes away two pairs at most, so texts within d edits lack 2 d of each other's marks at most, whatever pairs fall into one class."""
+    out = np.zeros((MARK_WORDS, len(texts)), dtype=np.uint64)
+    for start, stop, owner, codes in _slices(texts):
+        pairs = ((codes[:-1] * np.uint32(1_000_003) + codes[1:]) * np.uint32(0x9E3779B1) >> np.uint32(16)) % np.uint32(CLASSES)
+        counts = np.bincount((owner[:-1] * CLASSES + pairs)[owner[:-1] == owner[1:]], minlength=(stop - start) * CLASSES).reshape(stop - start, CLASSES)
+        out[:, start:stop] = np.concatenate([np.packbits(counts >= n, axis=1).view(np.uint64) for n in range(1, TIMES + 1)], axis=1).T
+    return out
+
+
+def letters_of(texts: list[str]) -> np.ndarray:
+    """How many letters of each of ``LETTER_CLASSES`` classes each of ``texts`` has, a row per text. An edit takes away one letter and adds one at most."""
+    out = np.zeros((len(texts), LETTER_CLASSES), dtype=np.int32)
+    for start, stop, owner, codes in _slices(texts):
+        out[start:stop] = np.bincount(owner * LETTER_CLASSES + codes % LETTER_CLASSES, minlength=(stop - start) * LETTER_CLASSES).reshape(stop - start, LETTER_CLASSES)
     return out
 
 
-@lru_cache(100_000)
-def _mark_of(pair: str) -> int:
-    return (ord(pair[0]) * 1_000_003 + ord(pair[1])) * 0x9E3779B1 >> 12
+def _marks_at(text: str, places: list[int]) -> list[tuple[int, ...]]:
+    """For each of ``places``, the marks of what stands before it."""
+    return list(zip(*marks_of([text[:at] for at in places]).tolist()))
+
+
+def distances(patterns: list[str], texts: list[str], of: np.ndarray, to: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs: of the pattern number ``of`` and the text number ``to``, a value above ``most`` if it is larger. Bit-parallel columns
+    as in :func:`edits`, for many pairs at once."""
+    lengths, ends = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (patterns, texts))
+    score = most + 1
+    score[lengths[of] == 0] = ends[to][lengths[of] == 0]
+    words = -(-lengths[of] // 64)
+    todo = np.flatnonzero((words > 0) & (np.abs(lengths[of] - ends[to]) <= most))
+    todo = todo[np.lexsort((of[todo], words[todo]))]
+    for some in np.split(todo, np.flatnonzero(np.diff(words[todo])) + 1):
+        parts = [some]
+        while parts:
+            part = parts.pop()
+            if len(part) < FEW or words[part[0]] > LONG_WORDS:
+                for i in part.tolist():
+                    score[i] = edits(patterns[of[i]], texts[to[i]], int(most[i]))
+            elif len(part) > COLUMN_PAIRS or not _columns(patterns, texts, of, to, most, part, int(words[part[0]]), score):
+                parts += [part[: len(part) // 2], part[len(part) // 2 :]]
+    return score
+
+
+def _columns(patterns: list[str], texts: list[str], of: np.ndarray, to: np.ndarray, most: np.ndarray, part: np.ndarray, words: int, score: np.ndarray) -> bool:
+    """Sets the ``score`` of the pairs ``part``, whose patterns all have so many ``words``; False, and nothing is done, if too large a table is needed."""
+    used, own = np.unique(of[part], return_inverse=True)
+    some = [patterns[i] for i in used.tolist()]
+    codes, long = np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32), np.fromiter(map(len, some), dtype=np.int64, count=len(some))
+    # letters by number, 0 for those that no pattern has
+    letters = np.zeros(int(codes.max()) + 2, dtype=np.int64)
+    letters[codes] = 1
+    n = int(letters.sum()) + 1
+    if len(used) > 1 and len(used) * n * words > TABLE:
+        return False
+    letters[letters > 0] = np.arange(1, n)
+    # patterns end at the last word's top bit, whose carry is then the step of the distance; rows below the first letter keep the first row's values
+    gap = 64 * words - long
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(long) - long - gap, long)
+    # where each letter stands in each pattern
+    table = np.zeros((words, len(used) * n), dtype=np.uint64)
+    np.bitwise_or.at(table, (place >> 6, np.repeat(np.arange(len(used)), long) * n + letters[codes]), np.uint64(1) << (place & 63).astype(np.uint64))
+    # the texts one after another, the shortest first
+    met, text = np.unique(to[part], return_inverse=True)
+    some = [texts[i] for i in met.tolist()]
+    joined, ends = letters[np.minimum(np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32), len(letters) - 1)], np.fromiter(map(len, some), dtype=np.int64, count=len(some))
+    order = np.argsort(ends[text], kind="stable")
+    pair, row, begin, end = part[order], own[order] * n, (np.cumsum(ends) - ends)[text][order], ends[text][order]
+    limit, value = most[pair], long[own[order]]
+    one, top, no, full = np.uint64(1), np.uint64(63), np.uint64(0), ~np.uint64(0)
+    up, down = np.full((words, len(pair)), full), np.zeros((words, len(pair)), dtype=np.uint64)
+    up[0] = full << gap[own[order]].astype(np.uint64)
+    j = done = 0
+    while True:
+        ready = int(np.searchsorted(end, j, "right"))
+        score[pair[done:ready]] = value[done:ready]
+        done = ready
+        if j % 8 == 0:
+            # what is still to come makes up for no more than its letters
+            left = np.flatnonzero(value[done:] - (end[done:] - j) <= limit[done:]) + done
+            score[pair[done:]] = limit[done:] + 1
+            if len(left) < FEW:
+                for i in pair[left].tolist():
+                    score[i] = edits(patterns[of[i]], texts[to[i]], int(most[i]))
+                return True
+            if len(left) < 0.9 * (len(pair) - done):
+                pair, row, begin, end, limit, value = (x[left] for x in (pair, row, begin, end, limit, value))
+                up, down, done = up[:, left], down[:, left], 0
+        at = row[done:] + joined[begin[done:] + j]
+        more, less = one, no
+        for w in range(words):
+            match, u, d = table[w][at], up[w, done:], down[w, done:]
+            kept = match | d
+            match |= less
+            diagonal = match & u
+            diagonal += u
+            diagonal ^= u
+            diagonal |= match
+            right = diagonal | u
+            np.invert(right, out=right)
+            right |= d
+            diagonal &= u
+            high, low = right >> top, diagonal >> top
+            right <<= one
+            right |= more
+            diagonal <<= one
+            diagonal |= less
+            np.bitwise_and(right, kept, out=d)
+            kept |= right
+            np.invert(kept, out=kept)
+            np.bitwise_or(diagonal, kept, out=u)
+            more, less = high, low
+        value[done:] += more.view(np.int64)
+        value[done:] -= less.view(np.int64)
+        j += 1
 
 
 def _word_starts(reach: dict[str, int]):
-    """(kind, word, tail, head, after, marks): every word of the texts that begins within its kind's ``reach``, as far as what tells how the text goes on
-    behind the word, what stands before it and its marks, and how a text that ends with it goes on."""
+    """(kind, word, text, at, most): every word of the texts that begins within its kind's ``reach``, the text as far as what tells how it goes on
+    behind the word, and the word's place; -1 for ``most``, which only values asked for have."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out = {}
             for kind, text in zip(batch["kind"], batch["norm"]):
-                at, most, found = 0, reach.get(kind, -1), []
+                at, most = 0, reach.get(kind, -1)
                 while at <= most and at < len(text):
                     end = text.find(" ", at)
                     end = len(text) if end < 0 else end
                     if end > at:
-                        found.append((at, end))
+                        out[kind, text[at:end], text[: end + 2], at] = -1
                     at = end + 1
-                for (at, end), marks in zip(found, _marks_at(text, [at for at, _ in found])):
-                    out.append((kind, text[at:end], text[at : end + 2], text[:at], goes_on(text[end - 1], text[end : end + 2]), *marks))
-            yield pd.DataFrame(out, columns=["kind", "word", "tail", "head", "after", *HEAD_MARKS])
+            rows = pd.DataFrame(list(out), columns=["kind", "word", "text", "at"])
+            yield rows.assign(most=-1)
 
     return run
 
 
-def _closing_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(kind, closing, before, most, marks): the closing word of each text, what stands before it and its marks, and the most edits within the similarity."""
+def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(kind, norm, how, edits, copy) of all pairs within the similarity. Rows come in order of key, kind and word, the values asked for (``most`` of 0 or more)
+    before the texts they are compared with."""
+    kept = None
     for batch in batches:
+        rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        key, kind, word = (rows[x].to_numpy() for x in ("key", "kind", "word"))
+        group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (word[1:] != word[:-1]))])
+        asked = rows["most"].to_numpy() >= 0
+        kept = rows[asked & (group == group[-1])]
+        both = np.zeros((2, group[-1] + 1), dtype=bool)
+        both[asked.astype(int), group] = True
+        used = both.all(axis=0)[group]
+        yield from _compared(rows[used & asked], group[used & asked], rows[used & ~asked], group[used & ~asked])
+
+
+def _compared(probes: pd.DataFrame, probe_group: np.ndarray, heads: pd.DataFrame, head_group: np.ndarray) -> Iterator[pd.DataFrame]:
+    """:func:`_near` for some rows of both sides, and the group of each."""
+    # of the texts that agree up to a word, the one that goes on best stands for all: within the word, and behind it
+    found: dict[tuple[int, str], list] = {}
+    for g, text, at, word in zip(head_group.tolist(), heads["text"], heads["at"].tolist(), heads["word"]):
+        best, how = found.setdefault((g, text[:at]), ["", ("", "")]), goes_on(word, text[at + len(word) :])
+        best[0] = max(best[0], text)
+        if how:
+            best[1] = max(best[1], (how, text))
+    order = sorted(found, key=lambda x: (x[0], len(x[1])))
+    texts, best = [x[1] for x in order], [found[x] for x in order]
+    norms, places = probes["text"].tolist(), probes["at"].to_numpy()
+    befores = [norm[:at] for norm, at in zip(norms, places.tolist())]
+    whole = np.array([norm[at:] == word for norm, at, word in zip(norms, places.tolist(), probes["word"])], dtype=bool)
+    own, most = np.array([bool(b[1][0]) for b in best], dtype=bool), probes["most"].to_numpy().astype(np.int64)
+    lengths, groups = np.array([len(x) for x in texts], dtype=np.int64), np.array([x[0] for x in order], dtype=np.int64)
+    wide = max(int((places + most).max(initial=0)), int(lengths.max(initial=0))) + 1
+    ranks = groups * wide + lengths
+    low, high = np.searchsorted(ranks, probe_group * wide + np.maximum(places - most, 0)), np.searchsorted(ranks, probe_group * wide + places + most, "right")
+    marks, other = marks_of(befores), marks_of(texts)
+    counts, other_counts = letters_of(befores), letters_of(texts)
+    sums, other_sums = (np.bitwise_count(x).sum(axis=0, dtype=np.int64) for x in (marks, other))
+    kinds, before = probes["kind"].tolist(), np.concatenate([[0], np.cumsum(high - low)])
+    start = 0
+    while start < len(norms):
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + MARK_PAIRS, "right")) - 1)
+        n = (high - low)[start:stop]
+        of = np.repeat(np.arange(start, stop), n)
+        to = np.arange(len(of)) + np.repeat(low[start:stop] - (before[start:stop] - before[start]), n)
+        start = stop
+        left = ~whole[of] | own[to]
+        of, to = of[left], to[left]
+        # twice the larger of the numbers of marks that one has and the other lacks
+        differ = np.abs(sums[of] - other_sums[to])
+        for w in range(MARK_WORDS):
+            differ += np.bitwise_count(marks[w][of] ^ other[w][to])
+            if w % 2 or w == MARK_WORDS - 1:
+                left = np.flatnonzero(differ <= 4 * most[of])
+                of, to, differ = of[left], to[left], differ[left]
+        letters = np.abs(counts[of] - other_counts[to]).sum(axis=1) + np.abs(places[of] - lengths[to])
+        left = np.flatnonzero(letters <= 2 * most[of])
+        of, to = of[left], to[left]
+        d = distances(befores, texts, of, to, most[of])
+        near = np.flatnonzero(d <= most[of])
         out = []
-        for kind, text in zip(batch["kind"], batch["norm"]):
-            at = text.rfind(" ") + 1
-            out.append((kind, text[at:], text[:at], int((1 - SIMILARITY) * len(text) + 1e-9), *_marks_at(text, [at])[0]))
-        yield pd.DataFrame(out, columns=["kind", "closing", "before", "most", *BEFORE_MARKS])
-
-
-def _with_numbers(rows: DataFrame, text: str, marks: list[str]) -> DataFrame:
-    """``rows`` with the length of ``text`` and the number of its marks; ``marks`` as columns without nulls, for shorter code."""
-    return rows.withColumns({x: F.coalesce(x, F.lit(0)) for x in marks} | {f"{text}_length": F.coalesce(F.length(text), F.lit(0)), f"{text}_n": sum((F.bit_count(F.coalesce(x, F.lit(0))) for x in marks), F.lit(0))})
+        for i, j, e in zip(of[near].tolist(), to[near].tolist(), d[near].tolist()):
+            how, copy = best[j][1] if whole[i] else ("word", best[j][0])
+            out.append((kinds[i], norms[i], how, e, copy))
+        yield pd.DataFrame(out, columns=["kind", "norm", "how", "edits", "copy"])
 
 
 def with_differences(values: DataFrame) -> DataFrame:
@@ -365,9 +532,9 @@ def with_differences(values: DataFrame) -> DataFrame:
     disk). All pairs of a probe and a text's word that its closing word begins are compared, if their lengths allow the asked similarity: by their
     marks, and those that the marks don't rule out by edit distance."""
     parallel = values.sparkSession.sparkContext.defaultParallelism
-    probes = values.where("probe and norm <> '' and norm not like '% '").select("kind", "norm")
-    probes = probes.mapInPandas(_closing_words, f"kind string, closing string, before string, most int, {', '.join(f'{x} long' for x in BEFORE_MARKS)}")
-    reach = {r["kind"]: r["reach"] for r in probes.groupBy("kind").agg(F.max(F.length("before") + F.col("most")).alias("reach")).collect()}
+    probes = values.where("probe").select("kind", F.col("norm").alias("text"), F.substring_index("norm", " ", -1).alias("closing")).where("closing <> ''")
+    probes = probes.select("*", (F.length("text") - F.length("closing")).alias("at"), F.floor(F.lit(1 - SIMILARITY) * F.length("text") + 1e-9).cast("int").alias("most"))
+    reach = {r["kind"]: r["reach"] for r in probes.groupBy("kind").agg(F.max(F.col("at") + F.col("most")).alias("reach")).collect()}
     # the words that each closing word begins, among all that occur; behind a letter a word goes on with a letter
     known = values.select("kind", F.explode(F.split("norm", " ")).alias("word")).where("word <> ''").distinct()
     known = known.select("kind", "word", F.explode(F.expr(f"transform(sequence(1, least({LETTERS}, length(word))), n -> substring(word, 1, n))")).alias("letters"))
@@ -377,29 +544,16 @@ def with_differences(values: DataFrame) -> DataFrame:
     def length_class(n):
         return F.floor(F.log(n + F.lit(1.0)) / F.lit(float(np.log(LENGTHS))) + 1e-9).cast("int")
 
-    classes = F.sequence(length_class(F.greatest(F.length("before") - F.col("most"), F.lit(0))), length_class(F.length("before") + F.col("most")))
+    classes = F.sequence(length_class(F.greatest(F.col("at") - F.col("most"), F.lit(0))), length_class(F.col("at") + F.col("most")))
     # explicit partitions, since rows are few for their pairs; as tables grow, a key's texts are spread over more of them
     tasks = max(4 * parallel, values.count() // TASK_VALUES)
     salts = -(-tasks // (4 * parallel))
-    keys = ["kind", "word", "length_class", "salt"]
-    texts = values.select("kind", "norm").mapInPandas(_word_starts(reach), f"kind string, word string, tail string, head string, after string, {', '.join(f'{x} long' for x in HEAD_MARKS)}")
-    left = texts.select("*", length_class(F.length("head")).alias("length_class"), F.pmod(F.xxhash64("head"), F.lit(salts)).cast("int").alias("salt")).repartition(tasks, *keys)
-    # of the texts that agree up to a word, the one that goes on best stands for all: within the word, and behind it
-    own = F.when(F.col("after").isNotNull(), F.struct("after", "tail"))
-    left = left.groupBy(*keys, "head").agg(F.max("tail").alias("tail"), F.max(own).alias("own"), *[F.first(x).alias(x) for x in HEAD_MARKS])
-    left = _with_numbers(left, "head", HEAD_MARKS)
-    right = probes.join(begun, ["kind", "closing"]).select("*", F.explode(classes).alias("length_class")).select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    right = _with_numbers(right.repartition(tasks, *keys), "before", BEFORE_MARKS)
-    pairs = left.join(right.hint("merge"), keys)
-    whole = F.col("word") == F.col("closing")
-    # twice the larger of the numbers of marks that one has and the other lacks
-    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(HEAD_MARKS, BEFORE_MARKS)), F.abs(F.col("head_n") - F.col("before_n")))
-    possible = (F.abs(F.col("head_length") - F.col("before_length")) <= F.col("most")) & (~whole | F.col("own").isNotNull()) & (differ <= 4 * F.col("most"))
-    near = F.when(possible, F.expr("levenshtein(before, head, most)")).otherwise(-1)
-    how = F.when(whole, F.col("own.after")).otherwise("word")
-    copy = F.concat("head", F.when(whole, F.col("own.tail")).otherwise(F.col("tail")))
-    pairs = pairs.select("kind", F.concat("before", "closing").alias("norm"), how.alias("how"), near.alias("edits"), copy.alias("copy")).where("edits >= 0")
-    return best_of(pairs)
+    texts = values.select("kind", "norm").mapInPandas(_word_starts(reach), "kind string, word string, text string, at int, most int")
+    left = texts.select("*", length_class(F.col("at")).alias("length_class"), F.pmod(F.xxhash64(F.expr("substring(text, 1, at)")), F.lit(salts)).cast("int").alias("salt"))
+    right = probes.join(begun, ["kind", "closing"]).drop("closing").select("*", F.explode(classes).alias("length_class")).select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = left.unionByName(right).select(F.xxhash64("kind", "word", "length_class", "salt").alias("key"), "kind", "word", "text", "at", "most")
+    rows = rows.repartition(tasks, "key").sortWithinPartitions("key", "kind", "word", F.desc("most"))
+    return best_of(rows.mapInPandas(_near, "kind string, norm string, how string, edits int, copy string"))
 
 
 def best_of(pairs: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -164,3 +166,55 @@ def test_marks_of_beginnings_are_those_of_the_text_alone():
     text = "the second take was recorded inside the limestone chapel"
     places = [0] + [i + 1 for i, c in enumerate(text) if c == " "]
     assert N._marks_at(text, places) == [N._marks_at(text[:at], [at])[0] for at in places]
+
+
+def test_distances_of_many_pairs_are_those_of_each():
+    """Patterns of one and more words of 64 bits, of none and of very many; few pairs and many at once; letters that only one side has."""
+    rnd = random.Random(5)
+    patterns = ["".join(rnd.choice("ab c日") for _ in range(n)) for n in [0, 1, 30, 63, 64, 65, 127, 128, 129, 200] * 8 + [2_100]]
+    texts = []
+    for p in patterns:
+        text = list(p)
+        for _ in range(rnd.randrange(30)):
+            i = rnd.randrange(len(text) + 1)
+            text[i : i + 1] = rnd.choice([[], ["a"], ["b", "é"]])
+        texts.append("".join(text))
+    pairs = [(i, j) for i in range(len(patterns)) for j in [i, *rnd.sample(range(len(texts)), 25)]]
+    of, to = np.array(pairs).T
+    most = np.array([rnd.choice([0, 3, 12, 60, 500]) for _ in pairs])
+    got = N.distances(patterns, texts, of, to, most)
+    expected = [N.edits(patterns[i], texts[j], m) for (i, j), m in zip(pairs, most.tolist())]
+    assert np.minimum(got, most + 1).tolist() == expected and sum(got <= most) > 200
+
+
+def test_batches_of_the_join_lose_no_pair():
+    """However rows are cut into batches, and pairs into portions, the same pairs are found, also where a key is in many batches."""
+    heads = [f"the {a} {b} was moved to the {c} by all" for a, b, c in itertools.product(["old", "odd", "new"], ["harbor", "harbour", "lantern"], ["meadow", "meadows", "hall"])]
+    asked = [x[:-9].replace("the ", "te ", 1) for x in heads if "meadow " in x]
+    rows = []
+    for key, word in enumerate(["meadow", "meadows", "hall"]):
+        starts = [(x, x.find(f" {word} ") + 1) for x in heads if f" {word} " in x]
+        rows += [(key, "comment", word, x, x.rfind(" ") + 1, int((1 - N.SIMILARITY) * len(x))) for x in asked if word.startswith("meadow")]
+        rows += [(key, "comment", word, x[: at + len(word) + 2], at, -1) for x, at in starts]
+    table = pd.DataFrame(rows, columns=["key", "kind", "word", "text", "at", "most"])
+
+    def run(size):
+        found = pd.concat([x for x in N._near(table.iloc[i : i + size] for i in range(0, len(table), size))])
+        return sorted(set(found.itertuples(index=False, name=None)))
+
+    whole, expected = run(len(table)), set()
+    for x, y in itertools.product(asked, heads):
+        if " meadow" in y:
+            most = int((1 - N.SIMILARITY) * len(x))
+            if N.edits(x[: x.rfind(" ") + 1], y[: y.find(" meadow") + 1], most) <= most:
+                expected.add((x, y[: y.find(" by ") + 2]))
+    assert len(whole) >= 9 and {(r[1], r[4]) for r in whole} == expected
+    assert run(1) == run(7) == whole
+
+
+def test_letters_and_marks_are_those_of_each_text_alone():
+    """However texts are portioned, and for empty ones; letters differ by one for each edit at most."""
+    texts = ["", "a", "the old harbor", "x" * 600_000, "日本", ""] + [f"harbor {i}" for i in range(1_100)]
+    assert N.letters_of(texts).tolist() == [N.letters_of([x])[0].tolist() for x in texts]
+    assert N.marks_of(texts).T.tolist() == [N.marks_of([x]).T[0].tolist() for x in texts]
+    assert N.letters_of(texts).sum(axis=1).tolist() == [len(x) for x in texts] and N.letters_of([]).shape == (0, N.LETTER_CLASSES)
